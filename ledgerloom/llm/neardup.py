@@ -1,10 +1,10 @@
 """Near-duplicate records with small edits: multiple-global-order filtering.
 
 Records are sets of word shingles.  Records with equal sets form one class and
-only one of them is joined.  Under each of several global token orders the
-prefixes of all classes are joined on their tokens with the length and position
-filters; a pair is a candidate only if it meets under every order.  The
-candidates are then verified on the whole sets.
+only one of them is joined.  A pair is a candidate only if the prefixes of both
+meet under every one of several global token orders, and pass the length,
+position and bitmap filters (``setjoin``).  The candidates are then verified on
+the whole sets.
 
 Nulls and texts with fewer words than a shingle have no shingles and are similar
 to nothing.  Repeated rows count once.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.lineage import cut
-from ledgerloom.llm.setjoin import prefixes, reaches, verify
+from ledgerloom.llm.setjoin import records, self_join
 from ledgerloom.llm.words import shingles, words
 
 
@@ -35,14 +35,10 @@ def shingle_sets(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 def similar_classes(classes: DataFrame, t: Fraction, orders: int) -> DataFrame:
     """(a, b, n_a, n_b, common), a < b, for all pairs of classes (id, tokens) with similarity of at least ``t``."""
-    posts = cut(prefixes(classes, t, orders))
-    x, y = posts.alias("x"), posts.alias("y")
-    meet = (F.col("x.ord") == F.col("y.ord")) & (F.col("x.tok") == F.col("y.tok")) & (F.col("x.id") < F.col("y.id"))
-    fits = reaches(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), t)
-    met = x.join(y, meet & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr("shiftleft(1, x.ord)").alias("bit"))
-    everywhere = (1 << orders) - 1
-    candidates = met.groupBy("a", "b").agg(F.bit_or("bit").alias("bits")).where(F.col("bits") == everywhere).select("a", "b")
-    return verify(candidates, classes, classes, t)
+    found = self_join(cut(records(classes, t, orders)), t, orders)
+    turn = F.col("s") > F.col("l")
+    end = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+    return found.select(end("s", "l").alias("a"), end("l", "s").alias("b"), end("n_s", "n_l").alias("n_a"), end("n_l", "n_s").alias("n_b"), "common")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, t: Fraction = Fraction(4, 5), orders: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.lineage import cut
-from ledgerloom.llm.setjoin import prefixes, reaches, verify
+from ledgerloom.llm.setjoin import bipartite_join, records
 from ledgerloom.llm.words import shingles, words
 
 TRAINING = "train"
@@ -40,15 +40,9 @@ def overlaps(items: DataFrame, fields: list[str], k: int = 5, t: Fraction = Frac
     classes = sets.groupBy("field", "held", "id").agg(F.first("tokens").alias("tokens"))  # equal within a class
     # frequencies count both sides, so that they have one order
     both = classes.groupBy("field", "id").agg(F.first("tokens").alias("tokens"), F.bool_or("held").alias("held"), F.bool_or(~F.col("held")).alias("probe"))
-    posts = prefixes(both.select("field", "id", "tokens"), t, 1, "field")
-    sides = both.select("field", "id", "held", "probe")
-    posts = cut(posts.join(sides, ["field", "id"]))
-    x, y = posts.where("held").alias("x"), posts.where("probe").alias("y")
-    meet = (F.col("x.field") == F.col("y.field")) & (F.col("x.tok") == F.col("y.tok"))
-    fits = reaches(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), t)
-    candidates = x.join(y, meet & fits).select(F.col("x.field").alias("field"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    same = both.where("held AND probe").select("field", F.col("id").alias("a"), F.col("id").alias("b"))
-    near = verify(candidates.where("a <> b"), both, both, t, "field").select("field", "a", "b").unionByName(same)
+    ranked = cut(records(both, t, 1, "field").join(both.select("field", "id", "held", "probe"), ["field", "id"]))
+    same = ranked.where("held AND probe").select("field", F.col("id").alias("a"), F.col("id").alias("b"))
+    near = bipartite_join(ranked.where("held"), ranked.where("probe"), t, "field").unionByName(same)
     held = sets.where("held").select("field", F.col("id").alias("a"), F.col("split").alias("split_a"), F.col("idx").alias("idx_a"))
     train = sets.where("NOT held").select("field", F.col("id").alias("b"), F.col("split").alias("split_b"), F.col("idx").alias("idx_b"))
     return near.join(held, ["field", "a"]).join(train, ["field", "b"]).select("split_a", "idx_a", "split_b", "idx_b", "field")

@@ -1,10 +1,18 @@
 """Similarity joins of token sets under one or several global token orders.
 
 If the Jaccard similarity of two sets is at least t, then under *any* total order
-of the tokens the first ``n - ceil(t n) + 1`` tokens of both share a token.  Each
-further order gives a further necessary condition, so a pair that fails under one
-of them is no candidate.  All arithmetic on the threshold is exact: it is a
-fraction of integers.
+of the tokens the first ``n - ceil(t n) + 1`` tokens of both share a token; of the
+smaller set the first ``n - ceil(2t/(1+t) n) + 1`` will do.  Candidates come from
+the order by frequency, whose short prefixes of the smaller sets are the index and
+whose prefixes of the larger ones probe it, under these exact filters:
+
+* position and length: with the tokens left after the match the sets can still overlap enough;
+* bitmap: each set has the parity of its tokens in 256 hash buckets; sets that
+  differ in d tokens differ in at most d bits, so too many bits rule a pair out.
+
+A candidate must then share a prefix token under every further order too, before
+the whole sets are compared.  None of the filters loses a similar pair.  All
+arithmetic on the threshold is exact: it is a fraction of integers.
 """
 
 from __future__ import annotations
@@ -14,6 +22,10 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.skew import salted_join
+
+WORDS64 = 4  # 64-bit words of a set's bitmap
+
 
 def token_orders(tokens: Column, frequency: Column, n: int) -> list[Column]:
     """Sort keys of ``n`` orders, all rare tokens first.
@@ -29,46 +41,76 @@ def token_orders(tokens: Column, frequency: Column, n: int) -> list[Column]:
 
 def prefix_length(n: Column, t: Fraction) -> Column:
     """``n - ceil(t n) + 1``, the number of tokens that a set of ``n`` must show."""
-    need = (n * F.lit(t.numerator) + F.lit(t.denominator - 1)) / F.lit(t.denominator)
-    return n - F.floor(need).cast("int") + F.lit(1)
+    return n - ((n * F.lit(t.numerator) + F.lit(t.denominator - 1)) / F.lit(t.denominator)).cast("int") + F.lit(1)
+
+
+def bitmap(tokens: Column, word: int) -> Column:
+    """Parity of the tokens in each of the 64 buckets of one word of the bitmap."""
+    bit = lambda x: F.when(F.pmod(F.shiftrightunsigned(x, 6), F.lit(WORDS64)) == word, F.expr("1L")).otherwise(F.expr("0L"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", bit(x), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def prefixes(sets: DataFrame, t: Fraction, orders: int, *by: str) -> DataFrame:
-    """(id, n, ord, tok, pos, *by): the prefix of each set under each order, ``pos`` from 1.
+def records(sets: DataFrame, t: Fraction, orders: int = 1, *by: str) -> DataFrame:
+    """(id, *by, n, tokens, b0.., o0..): each set with its bitmap and its prefix under each order.
 
-    ``sets`` has ``id`` and ``tokens`` (array<bigint>), and the columns ``by``
-    within which tokens are counted and compared.  Token frequencies count all
-    sets.
+    ``sets`` has ``id`` and ``tokens`` (distinct bigints), and the columns ``by``
+    within which tokens are counted and compared.  Frequencies count all sets.
     """
     flat = sets.select("id", *by, F.size("tokens").alias("n"), F.explode("tokens").alias("tok"))
     frequency = flat.groupBy(*by, "tok").agg(F.count(F.lit(1)).alias("df"))
-    ranked = flat.join(frequency, [*by, "tok"])
     keys = token_orders(F.col("tok"), F.col("df"), orders)
-    ranked = ranked.select("id", *by, "n", *[F.struct(key.alias("key"), F.col("tok")).alias(f"o{i}") for i, key in enumerate(keys)])
-    lists = ranked.groupBy("id", *by, "n").agg(*[F.sort_array(F.collect_list(f"o{i}")).alias(f"o{i}") for i in range(orders)])
-    def entries(i: int) -> Column:
-        shown = F.slice(F.col(f"o{i}"), F.lit(1), prefix_length(F.col("n"), t))
-        return F.transform(shown, lambda x, p: F.struct(F.lit(i).alias("ord"), x["tok"].alias("tok"), (p + 1).alias("pos")))
+    ranked = flat.join(frequency, [*by, "tok"]).select("id", *by, "n", "tok", *[key.alias(f"k{i}") for i, key in enumerate(keys)])
+    lists = ranked.groupBy("id", *by, "n").agg(*[F.sort_array(F.collect_list(F.struct(f"k{i}", "tok"))).alias(f"l{i}") for i in range(orders)])  # one set's own tokens
+    prefix = [F.transform(F.slice(F.col(f"l{i}"), F.lit(1), prefix_length(F.col("n"), t)), lambda x: x["tok"]).alias(f"o{i}") for i in range(orders)]
+    return lists.select("id", *by, "n", F.array_sort(F.transform("l0", lambda x: x["tok"])).alias("tokens"), *prefix).select("*", *[bitmap(F.col("tokens"), w).alias(f"b{w}") for w in range(WORDS64)])
 
-    every = F.flatten(F.array(*[entries(i) for i in range(orders)]))
-    return lists.select("id", *by, "n", F.explode(every).alias("e")).select("id", *by, "n", "e.ord", "e.tok", "e.pos")
 
+def _postings(rows: DataFrame, t: Fraction, short: bool, side: str, *by: str) -> DataFrame:
+    most = prefix_length(F.col("n"), 2 * t / (1 + t)) if short else F.size("o0")
+    bits = [f"b{w}" for w in range(WORDS64)]
+    flat = rows.select("id", *by, "n", *bits, F.posexplode(F.slice(F.col("o0"), F.lit(1), most)).alias("p", "tok"))
+    return flat.select(F.xxhash64(*by, "tok").alias("_key"), *[F.col(c).alias(f"{side}_{c}") for c in ("id", *by, "n", *bits)], (F.col("p") + 1).alias(f"{side}_pos"))
 
-def reaches(n_a: Column, n_b: Column, pos_a: Column, pos_b: Column, t: Fraction) -> Column:
-    """Whether sets whose first common token stands at these positions can still overlap enough; it implies the length filter."""
-    most = F.lit(1) + F.least(n_a - pos_a, n_b - pos_b)
-    return most * F.lit(t.numerator + t.denominator) >= (n_a + n_b) * F.lit(t.numerator)
 
+def candidates(small: DataFrame, large: DataFrame, t: Fraction, ordered: Column, *by: str) -> DataFrame:
+    """(s, l, *by): ids of a set of ``small`` and one of ``large`` that pass the filters of the first order.
 
-def similar(common: Column, n_a: Column, n_b: Column, t: Fraction) -> Column:
-    """Jaccard similarity of at least t, exactly."""
-    return common * F.lit(t.denominator) >= (n_a + n_b - common) * F.lit(t.numerator)
-
-
-def verify(candidates: DataFrame, a: DataFrame, b: DataFrame, t: Fraction, *by: str) -> DataFrame:
-    """The candidate pairs (a, b, *by) whose whole sets are similar enough, with ``common``, ``n_a`` and ``n_b``."""
-    left = a.select(F.col("id").alias("a"), *by, F.col("tokens").alias("_ta"))
-    right = b.select(F.col("id").alias("b"), *by, F.col("tokens").alias("_tb"))
-    both = candidates.join(left, ["a", *by]).join(right, ["b", *by])
-    both = both.select("a", "b", *by, F.size("_ta").alias("n_a"), F.size("_tb").alias("n_b"), F.size(F.array_intersect("_ta", "_tb")).alias("common"))
-    return both.where(similar(F.col("common"), F.col("n_a"), F.col("n_b"), t))
+    ``ordered`` tells, over s_n, s_id, l_n and l_id, that the first is the smaller one.
+    """
+    x, y = _postings(small, t, True, "s", *by), _postings(large, t, False, "l", *by)
+    met = salted_join(y, x, "_key", F.col("l_id"), "inner", fraction=0.002)
+    num, den = F.lit(t.numerator), F.lit(t.denominator)
+    both = F.col("s_n") + F.col("l_n")
+    left = F.lit(1) + F.least(F.col("s_n") - F.col("s_pos"), F.col("l_n") - F.col("l_pos"))
+    differ = sum((F.bit_count(F.col(f"s_b{w}").bitwiseXOR(F.col(f"l_b{w}"))) for w in range(WORDS64)), F.lit(0))
+    fits = (left * (num + den) >= both * num) & (differ * (num + den) <= both * (den - num))
+    same = [F.col(f"s_{c}").eqNullSafe(F.col(f"l_{c}")) for c in by]
+    for c in (ordered, fits, *same):
+        met = met.where(c)
+    return met.select(F.col("s_id").alias("s"), F.col("l_id").alias("l"), *[F.col(f"s_{c}").alias(c) for c in by]).distinct()
+
+
+def verified(pairs: DataFrame, small: DataFrame, large: DataFrame, t: Fraction, orders: int, *by: str) -> DataFrame:
+    """The pairs (s, l, *by) that share a prefix token under every order and whose whole sets are similar enough, with common, n_s and n_l."""
+    need = ["tokens", *[f"o{i}" for i in range(1, orders)]]
+    a = small.select(F.col("id").alias("s"), *by, *[F.col(c).alias(f"s_{c}") for c in need])
+    b = large.select(F.col("id").alias("l"), *by, *[F.col(c).alias(f"l_{c}") for c in need])
+    both = pairs.join(a, ["s", *by]).join(b, ["l", *by])
+    for i in range(1, orders):
+        both = both.where(F.arrays_overlap(f"s_o{i}", f"l_o{i}"))
+    sized = both.select("s", "l", *by, F.size("s_tokens").alias("n_s"), F.size("l_tokens").alias("n_l"), F.size(F.array_intersect("s_tokens", "l_tokens")).alias("common"))
+    return sized.where(F.col("common") * t.denominator >= (F.col("n_s") + F.col("n_l") - F.col("common")) * t.numerator)
+
+
+def self_join(sets: DataFrame, t: Fraction, orders: int) -> DataFrame:
+    """(s, l, n_s, n_l, common) for all pairs of different sets (id, tokens) with similarity of at least ``t``; ``sets`` must be records."""
+    smaller = (F.col("s_n") < F.col("l_n")) | ((F.col("s_n") == F.col("l_n")) & (F.col("s_id") < F.col("l_id")))
+    return verified(candidates(sets, sets, t, smaller), sets, sets, t, orders)
+
+
+def bipartite_join(one: DataFrame, other: DataFrame, t: Fraction, *by: str) -> DataFrame:
+    """(a, b, *by): pairs of a set of ``one`` and another of ``other`` with similarity of at least ``t``; both must be records."""
+    forward = candidates(one, other, t, F.col("s_n") <= F.col("l_n"), *by).select(F.col("s").alias("a"), F.col("l").alias("b"), *by)
+    back = candidates(other, one, t, F.col("s_n") < F.col("l_n"), *by).select(F.col("l").alias("a"), F.col("s").alias("b"), *by)
+    pairs = forward.unionByName(back).where("a <> b").select(F.col("a").alias("s"), F.col("b").alias("l"), *by)
+    return verified(pairs, one, other, t, 1, *by).select(F.col("s").alias("a"), F.col("l").alias("b"), *by)
