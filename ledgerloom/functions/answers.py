@@ -1,6 +1,6 @@
-"""Answers in free text: marker selection, strict and lenient extraction, exact numbers.
+"""Answers in free text: marker selection, strict extraction, canonical decimals.
 
-All columns.  Numbers are compared by their canonical text: an integer, a
+All columns; ``lenient`` has what columns can't express.  Numbers are compared by their canonical text: an integer, a
 terminating decimal without trailing zeros, or a reduced fraction p/q.  Full-width
 digits and the Unicode minus are read as their ASCII counterparts.
 """
@@ -10,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.lenient import canonical_quotient
+
 STRICT = r"^-?\d+(\.\d+)?$"
-#: A number in running text: thousands groups or digits, decimals, or a leading point; no letter, digit or point before it.
-NUMBER = r"(?<![\p{L}\p{N}_.])-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?|(?<![\p{L}\p{N}_])-?\.\d+"
 _PLAIN = r"(?:[^{}\\]|\\.)"
 _NEST = rf"(?:{_PLAIN}|\{{(?:{_PLAIN}|\{{(?:{_PLAIN}|\{{{_PLAIN}*\}})*\}})*\}})*"
-PHRASE = r"(?i)\b(?:final\s+answer|the\s+answer|answer)\b[^\n\d-]{0,20}?(?:is|:|=)\s*([^\n]{0,80})"
-BOLD = r"\*\*([^*\n]{1,40})\*\*|__([^_\n]{1,40})__"
 
 
 def ascii_digits(text: Column) -> Column:
@@ -65,74 +63,13 @@ def canonical_decimal(number: Column) -> Column:
     return F.when(s.rlike(r"^-?(\d+(\.\d+)?|\.\d+)$"), F.when(body == "0", body).otherwise(F.concat(sign, body)))
 
 
-def canonical_ratio(num: Column, den: Column, negative: Column) -> Column:
-    """Canonical text of a quotient of two decimals in text; null if the divisor is 0 or a term has over 15 digits."""
-    a, b = F.regexp_replace(num, ",", ""), F.regexp_replace(den, ",", "")
-    decimals = lambda s: F.length(F.regexp_extract(s, r"\.(\d+)$", 1))
-    scale = F.greatest(decimals(a), decimals(b))
-    whole = lambda s: F.concat(F.regexp_replace(s, r"\.", ""), F.repeat(F.lit("0"), scale - decimals(s))).try_cast("bigint")
-    p, q = whole(a), whole(b)
-    flip = F.when(((p < 0) != (q < 0)) != negative, F.lit(-1)).otherwise(F.lit(1))
-    p, q = F.abs(p), F.abs(q)
-    euclid = F.aggregate(F.sequence(F.lit(1), F.lit(90)), F.struct(p.alias("x"), q.alias("y")), lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.pmod(s["x"], s["y"]).alias("y"))), lambda s: s["x"])
-    n, d = (p / euclid).cast("bigint"), (q / euclid).cast("bigint")
-    exact = F.pmod(F.lit(10**12).cast("bigint"), d) == 0
-    decimal = canonical_decimal((n.cast("decimal(20,0)") * (F.lit(10**12).cast("bigint") / d).cast("bigint").cast("decimal(13,0)") * F.lit("0.000000000001").cast("decimal(13,12)")).cast("string"))
-    body = F.when(exact, decimal).otherwise(F.concat(n.cast("string"), F.lit("/"), d.cast("string")))
-    fits = (F.length(a) <= 15) & (F.length(b) <= 15) & (q != 0)
-    return F.when(fits, F.when((flip < 0) & (p != 0), F.concat(F.lit("-"), body)).otherwise(body))
-
-
-def parse_lenient(text: Column) -> Column:
-    """Canonical number in a short answer text: LaTeX wrappers and signs dropped, right of the last '=', a fraction, a ratio, or its first number."""
-    s = ascii_digits(text)
-    for _ in range(3):
-        s = F.regexp_replace(s, r"\\(?:textbf|textrm|text|mathrm|mathbf|mbox)\s*\{([^{}]*)\}", "$1")
-    s = F.regexp_replace(s, r"\\[,!;:]|~", "")
-    s = F.regexp_replace(s, r"\{,\}", ",")
-    s = F.regexp_replace(s, r"\\?[$%]|\\left|\\right|\^\{\\circ\}|\^\\circ", "")
-    for _ in range(3):
-        s = F.regexp_replace(s, r"^\s*\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}\s*$", "$1")
-    s = F.regexp_replace(F.substring_index(s, "=", -1), r"^\s+|\s+$", "")
-    frac, ratio = r"^(-?)\\[dt]?frac\{(-?[\d.,]+)\}\{(-?[\d.,]+)\}$", r"^(-?\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)$"
-    first = canonical_decimal(_first(_all(s, f"({NUMBER})")))
-    of_frac = canonical_ratio(F.regexp_extract(s, frac, 2), F.regexp_extract(s, frac, 3), F.regexp_extract(s, frac, 1) == "-")
-    of_ratio = canonical_ratio(F.regexp_extract(s, ratio, 1), F.regexp_extract(s, ratio, 2), F.lit(False))
-    return F.when(s.rlike(frac), of_frac).when(s.rlike(ratio), of_ratio).otherwise(first)
-
-
-def _first(values: Column) -> Column:
-    return F.when(F.size(values) > 0, values[0])
-
-
 def extract_strict(text: Column) -> Column:
     """Canonical value of the selected marker if it is a plain number, else null."""
     content = ascii_digits(marker(text)["content"])
     return F.when(content.rlike(STRICT), canonical_decimal(content))
 
 
-def extract_lenient(text: Column) -> Column:
-    """struct(value, method): the first stage with a value of marker, other marker, fbox, phrase, bold and last number."""
-    chosen = marker(text)
-    kind, content = chosen["kind"], chosen["content"]
-    other = F.when(kind == "hash", F.regexp_replace(_last(boxes(text)), r"^\s+|\s+$", "")).when(kind == "boxed", payload(last_hash_line(text)))
-    other_kind = F.when(kind == "hash", F.lit("boxed")).otherwise(F.lit("hash"))
-    bolds = F.transform(_all(text, BOLD, 0), lambda b: parse_lenient(F.substring(b, F.lit(3), F.length(b) - 4)))
-    stages = [
-        (parse_lenient(content), kind),
-        (parse_lenient(other), other_kind),
-        (parse_lenient(_last(boxes(text, "fbox"))), F.lit("fbox")),
-        (parse_lenient(_last(_all(text, PHRASE))), F.lit("answer_phrase")),
-        (_last(F.filter(bolds, lambda b: b.isNotNull())), F.lit("bold")),
-        (canonical_decimal(_last(_all(ascii_digits(text), f"({NUMBER})"))), F.lit("last_number")),
-    ]
-    tried = F.filter(F.array(*[F.struct(v.alias("value"), m.alias("method")) for v, m in stages]), lambda s: s["value"].isNotNull())
-    none = F.struct(F.lit(None).cast("string").alias("value"), F.lit("none").alias("method"))
-    return F.when(F.size(tried) > 0, tried[0]).otherwise(none)
-
-
 def canonical_gold(gold: Column) -> Column:
-    """Canonical text of a gold answer: commas and spaces dropped, the Unicode minus read."""
+    """Canonical text of a gold answer: commas and spaces dropped, the Unicode minus and quotients read."""
     s = F.regexp_replace(ascii_digits(gold), r"[\s,]", "")
-    ratio = r"^(-?\d+(?:\.\d+)?)/(\d+(?:\.\d+)?)$"
-    return F.when(s.rlike(ratio), canonical_ratio(F.regexp_extract(s, ratio, 1), F.regexp_extract(s, ratio, 2), F.lit(False))).otherwise(canonical_decimal(s))
+    return F.when(s.contains("/"), canonical_quotient(s)).otherwise(canonical_decimal(s))

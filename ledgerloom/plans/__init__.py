@@ -1 +1,10 @@
-"""Composite analyses."""
+"""Composite analyses.  ``load`` imports the modules whose queries the registry is to hold."""
+
+from importlib import import_module
+
+MODULES = ("store",)
+
+
+def load() -> None:
+    for name in MODULES:
+        import_module(f"ledgerloom.plans.{name}")
