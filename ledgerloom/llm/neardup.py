@@ -26,11 +26,13 @@ from ledgerloom.llm.words import shingles, words
 def shingle_sets(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(key, id, tokens): ``id`` is the same for rows with the same set.
 
-    One row per key; of rows with one key and different texts the least text counts.
+    One row per key; of rows with one key and different texts the least set
+    counts.  Shingles are made where the table is read, before anything is
+    shuffled.
     """
-    rows = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(text).alias("text"))
-    sets = rows.select("key", F.sort_array(shingles(words(F.col("text")), k)).alias("tokens"))
-    return sets.where(F.size("tokens") > 0).withColumn("id", F.xxhash64("tokens"))
+    sets = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.sort_array(shingles(words(F.col(text)), k)).alias("tokens"))
+    once = sets.where(F.size("tokens") > 0).groupBy("key").agg(F.min("tokens").alias("tokens"))
+    return once.withColumn("id", F.xxhash64("tokens"))
 
 
 def similar_classes(classes: DataFrame, t: Fraction, orders: int) -> DataFrame:

@@ -26,9 +26,9 @@ TRAINING = "train"
 def field_sets(items: DataFrame, fields: list[str], k: int) -> DataFrame:
     """(field, held, split, idx, tokens, id), one row for each compared field of a record; ``id`` names its set."""
     texts = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(f).alias("text")) for i, f in enumerate(fields)])).alias("e")
-    rows = items.where(F.col("split").isNotNull() & F.col("idx").isNotNull()).select("split", "idx", *fields).distinct().select("split", "idx", texts)
+    rows = items.where(F.col("split").isNotNull() & F.col("idx").isNotNull()).select("split", "idx", texts)
     sets = rows.select("split", "idx", F.col("e.field").alias("field"), (F.col("split") != TRAINING).alias("held"), F.sort_array(shingles(words(F.col("e.text")), k)).alias("tokens"))
-    return sets.where(F.size("tokens") > 0).withColumn("id", F.xxhash64("tokens"))
+    return sets.where(F.size("tokens") > 0).withColumn("id", F.xxhash64("tokens")).dropDuplicates(["field", "split", "idx", "id"])
 
 
 def overlaps(items: DataFrame, fields: list[str], k: int = 5, t: Fraction = Fraction(4, 5)) -> DataFrame:

@@ -17,13 +17,14 @@ arithmetic on the threshold is exact: it is a fraction of integers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.skew import salted_join
-
 WORDS64 = 4  # 64-bit words of a set's bitmap
 
 
@@ -65,37 +66,102 @@ def records(sets: DataFrame, t: Fraction, orders: int = 1, *by: str) -> DataFram
     return lists.select("id", *by, "n", F.array_sort(F.transform("l0", lambda x: x["tok"])).alias("tokens"), *prefix).select("*", *[bitmap(F.col("tokens"), w).alias(f"b{w}") for w in range(WORDS64)])
 
 
-def _postings(rows: DataFrame, t: Fraction, short: bool, side: str, *by: str) -> DataFrame:
+def _postings(rows: DataFrame, t: Fraction, short: bool, *by: str) -> DataFrame:
     most = prefix_length(F.col("n"), 2 * t / (1 + t)) if short else F.size("o0")
     bits = [f"b{w}" for w in range(WORDS64)]
     flat = rows.select("id", *by, "n", *bits, F.posexplode(F.slice(F.col("o0"), F.lit(1), most)).alias("p", "tok"))
-    return flat.select(F.xxhash64(*by, "tok").alias("_key"), *[F.col(c).alias(f"{side}_{c}") for c in ("id", *by, "n", *bits)], (F.col("p") + 1).alias(f"{side}_pos"))
+    return flat.select(F.xxhash64(*by, "tok").alias("key"), "id", "n", (F.col("p") + 1).alias("pos"), *bits, F.lit(short).alias("short"))
+
+
+#: Share of all postings that one task gets of a token at most, and pairs that are compared at once.
+HOT, AT_ONCE = 0.001, 1_000_000
 
 
-def candidates(small: DataFrame, large: DataFrame, t: Fraction, ordered: Column, *by: str) -> DataFrame:
-    """(s, l, *by): ids of a set of ``small`` and one of ``large`` that pass the filters of the first order.
+def _spread(postings: DataFrame) -> DataFrame:
+    """``postings`` with a column ``part``: the lists of hot tokens are cut on both sides and every pair of pieces becomes a group.
 
-    ``ordered`` tells, over s_n, s_id, l_n and l_id, that the first is the smaller one.
+    There are at most 1/HOT hot tokens, which bounds their broadcast.
     """
-    x, y = _postings(small, t, True, "s", *by), _postings(large, t, False, "l", *by)
-    met = salted_join(y, x, "_key", F.col("l_id"), "inner", fraction=0.002)
-    num, den = F.lit(t.numerator), F.lit(t.denominator)
-    both = F.col("s_n") + F.col("l_n")
-    left = F.lit(1) + F.least(F.col("s_n") - F.col("s_pos"), F.col("l_n") - F.col("l_pos"))
-    differ = sum((F.bit_count(F.col(f"s_b{w}").bitwiseXOR(F.col(f"l_b{w}"))) for w in range(WORDS64)), F.lit(0))
-    fits = (left * (num + den) >= both * num) & (differ * (num + den) <= both * (den - num))
-    same = [F.col(f"s_{c}").eqNullSafe(F.col(f"l_{c}")) for c in by]
-    for c in (ordered, fits, *same):
-        met = met.where(c)
-    return met.select(F.col("s_id").alias("s"), F.col("l_id").alias("l"), *[F.col(f"s_{c}").alias(c) for c in by]).distinct()
+    counts = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    total = postings.agg((F.count(F.lit(1)) * F.lit(HOT)).alias("least"))
+    hot = counts.join(F.broadcast(total), F.col("c") > F.greatest(F.col("least"), F.lit(1000.0))).select("key", F.ceil(F.col("c") / F.greatest(F.col("least"), F.lit(1000.0))).cast("int").alias("cuts"))
+    rows = postings.join(F.broadcast(hot), "key", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
+    others = F.sequence(F.lit(0), F.col("cuts") - 1)
+    group = F.when(F.col("short"), F.transform(others, lambda o: own * F.col("cuts") + o)).otherwise(F.transform(others, lambda o: o * F.col("cuts") + own))
+    return rows.withColumn("part", F.explode(group)).drop("cuts")
+
+
+def candidates(small: DataFrame, large: DataFrame, t: Fraction, ties: bool, *by: str) -> DataFrame:
+    """(s, l): ids of a set of ``small`` and a larger one of ``large`` that pass the filters of the first order.
+
+    Of sets of one size the one with the lower id counts as smaller; with ``ties``
+    both orders count.  The postings of each token come together sorted, and the
+    pairs within a token are compared in arrays.
+    """
+    num, den = t.numerator, t.denominator
+    bits = [f"b{w}" for w in range(WORDS64)]
+    rows = _spread(_postings(small, t, True, *by).unionByName(_postings(large, t, False, *by)))
+    grouped = rows.repartition("key", "part").sortWithinPartitions("key", "part")
+    schema = pa.schema([("s", pa.int64()), ("l", pa.int64())])
+
+    def compare(part: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        change = (np.diff(part["key"]) != 0) | (np.diff(part["part"]) != 0)
+        starts = np.concatenate(([0], np.flatnonzero(change) + 1))
+        ends = np.append(starts[1:], len(part["key"]))
+        group = np.cumsum(np.concatenate(([0], change)))
+        shorts = np.flatnonzero(part["short"])
+        width = (ends - starts)[group[shorts]]
+        keep = width > 1
+        shorts, width = shorts[keep], width[keep]
+        total = np.cumsum(width)
+        at = 0
+        while at < len(shorts):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
+            n = width[at:to]
+            i = np.repeat(shorts[at:to], n)
+            first = np.cumsum(n) - n
+            j = np.arange(n.sum()) - np.repeat(first, n) + starts[group[i]]
+            ns, nl = part["n"][i], part["n"][j]
+            both = ns + nl
+            left = 1 + np.minimum(ns - part["pos"][i], nl - part["pos"][j])
+            fits = ~part["short"][j] & (ns <= nl) & (left * (num + den) >= both * num)
+            if not ties:
+                fits &= (ns < nl) | (part["id"][i] < part["id"][j])
+            i, j, both = i[fits], j[fits], both[fits]
+            differ = sum(np.bitwise_count(part[b][i] ^ part[b][j]).astype(np.int64) for b in bits)
+            close = differ * (num + den) <= both * (den - num)
+            pairs = np.unique(np.stack([part["id"][i[close]], part["id"][j[close]]]), axis=1) if close.any() else np.empty((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+            at = to
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            new = {c: v.astype(np.int64) if c in ("n", "pos", "part") else v.view(np.uint64) if c in bits else v for c, v in new.items()}
+            if rest is not None:
+                new = {c: np.concatenate([rest[c], v]) for c, v in new.items()}
+            # the last group may go on in the next batch
+            last = np.flatnonzero((np.diff(new["key"]) != 0) | (np.diff(new["part"]) != 0))
+            stop = int(last[-1]) + 1 if len(last) else 0
+            rest = {c: v[stop:] for c, v in new.items()}
+            if stop:
+                yield from compare({c: v[:stop] for c, v in new.items()})
+        if rest is not None:
+            yield from compare(rest)
+
+    return grouped.mapInArrow(meet, "s long, l long").distinct()
 
 
 def verified(pairs: DataFrame, small: DataFrame, large: DataFrame, t: Fraction, orders: int, *by: str) -> DataFrame:
-    """The pairs (s, l, *by) that share a prefix token under every order and whose whole sets are similar enough, with common, n_s and n_l."""
+    """The pairs (s, l) within ``by`` that share a prefix token under every order and whose whole sets are similar enough, with common, n_s and n_l."""
     need = ["tokens", *[f"o{i}" for i in range(1, orders)]]
     a = small.select(F.col("id").alias("s"), *by, *[F.col(c).alias(f"s_{c}") for c in need])
     b = large.select(F.col("id").alias("l"), *by, *[F.col(c).alias(f"l_{c}") for c in need])
-    both = pairs.join(a, ["s", *by]).join(b, ["l", *by])
+    both = pairs.join(a, "s").join(b, ["l", *by])
     for i in range(1, orders):
         both = both.where(F.arrays_overlap(f"s_o{i}", f"l_o{i}"))
     sized = both.select("s", "l", *by, F.size("s_tokens").alias("n_s"), F.size("l_tokens").alias("n_l"), F.size(F.array_intersect("s_tokens", "l_tokens")).alias("common"))
@@ -104,13 +170,12 @@ def verified(pairs: DataFrame, small: DataFrame, large: DataFrame, t: Fraction,
 
 def self_join(sets: DataFrame, t: Fraction, orders: int) -> DataFrame:
     """(s, l, n_s, n_l, common) for all pairs of different sets (id, tokens) with similarity of at least ``t``; ``sets`` must be records."""
-    smaller = (F.col("s_n") < F.col("l_n")) | ((F.col("s_n") == F.col("l_n")) & (F.col("s_id") < F.col("l_id")))
-    return verified(candidates(sets, sets, t, smaller), sets, sets, t, orders)
+    return verified(candidates(sets, sets, t, False), sets, sets, t, orders)
 
 
 def bipartite_join(one: DataFrame, other: DataFrame, t: Fraction, *by: str) -> DataFrame:
     """(a, b, *by): pairs of a set of ``one`` and another of ``other`` with similarity of at least ``t``; both must be records."""
-    forward = candidates(one, other, t, F.col("s_n") <= F.col("l_n"), *by).select(F.col("s").alias("a"), F.col("l").alias("b"), *by)
-    back = candidates(other, one, t, F.col("s_n") < F.col("l_n"), *by).select(F.col("l").alias("a"), F.col("s").alias("b"), *by)
-    pairs = forward.unionByName(back).where("a <> b").select(F.col("a").alias("s"), F.col("b").alias("l"), *by)
+    forward = candidates(one, other, t, True, *by).select(F.col("s").alias("a"), F.col("l").alias("b"))
+    back = candidates(other, one, t, True, *by).select(F.col("l").alias("a"), F.col("s").alias("b"))
+    pairs = forward.unionByName(back).where("a <> b").distinct().select(F.col("a").alias("s"), F.col("b").alias("l"))
     return verified(pairs, one, other, t, 1, *by).select(F.col("s").alias("a"), F.col("l").alias("b"), *by)
