@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("store",)
+MODULES = ("store", "pairs")
 
 
 def load() -> None:
