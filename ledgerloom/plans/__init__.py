@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("store", "pairs")
+MODULES = ("store", "pairs", "policies")
 
 
 def load() -> None:
