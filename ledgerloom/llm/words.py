@@ -17,6 +17,11 @@ def words(text: Column) -> Column:
 
 def shingles(tokens: Column, k: int) -> Column:
     """The set of ``k``-word runs of an array of words, each as a 64-bit hash; empty if there are fewer than ``k`` words."""
-    last = F.size(tokens) - F.lit(k)
-    starts = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, F.lit(k)))))
+
+    def runs(w: Column) -> Column:
+        last = F.size(w) - F.lit(k)
+        starts = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, F.lit(k)))))
+
+    # the words are bound as a variable: else each run would take them from the text again
+    return F.transform(F.array(tokens), runs)[0]
