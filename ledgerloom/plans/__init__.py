@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("store", "pairs", "policies")
+MODULES = ("store", "pairs", "policies", "texts", "inference", "planner")
 
 
 def load() -> None:
