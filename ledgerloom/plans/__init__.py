@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("store", "pairs", "policies", "texts", "inference", "planner")
+MODULES = ("store", "pairs", "policies", "texts", "inference", "planner", "streams")
 
 
 def load() -> None:
