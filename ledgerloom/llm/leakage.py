@@ -215,7 +215,7 @@ class _Cursor:
 _OUT = pa.schema([("doc_id", pa.int64()), ("split", pa.string()), ("idx", pa.int32())])
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, fields: tuple[str, str] = ("question", "answer_text"), k: int = 5, run: int = 13, block_words: int = 4_000_000) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, fields: tuple[str, str] = ("question", "answer_text"), k: int = 5, run: int = 13, block_words: int = 3_000_000) -> DataFrame:
     """(doc_id, split, idx): documents holding ``run`` consecutive words that are consecutive in one text of an evaluation item."""
     held = items.where("split IS NOT NULL AND idx IS NOT NULL AND split <> 'train'").select("split", "idx", *fields).distinct()
     size = sum((F.coalesce(F.length(f), F.lit(0)) for f in fields), F.lit(0)) / F.lit(4.0)  # words are mostly longer than three letters
