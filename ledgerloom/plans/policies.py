@@ -42,11 +42,11 @@ def parse_policy(name: str) -> tuple[str, str, bool, int]:
     raise ValueError(f"unknown policy {name!r}")
 
 
-def dense(changes: tuple[tuple[int, str], ...], rounds: int = R) -> list[tuple[int, str]]:
+def dense(changes: tuple[tuple[int, str], ...], rounds: int | None = None) -> list[tuple[int, str]]:
     """The environment of every round: the one of the greatest change at or before it."""
     if not changes or min(changes)[0] != 0:
         raise ValueError("a schedule must define round 0")
-    return [(t, max((c for c in changes if c[0] <= t), key=lambda c: c[0])[1]) for t in range(rounds + 1)]
+    return [(t, max((c for c in changes if c[0] <= t), key=lambda c: c[0])[1]) for t in range((R if rounds is None else rounds) + 1)]
 
 
 def schedules(spark: SparkSession, named: tuple) -> DataFrame:
