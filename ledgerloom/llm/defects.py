@@ -35,6 +35,7 @@ from ledgerloom.operators.skew import hot_keys, salted_join
 
 # Words that stand for no answer.
 PLACEHOLDERS = frozenset({"", "none", "null", "na", "nan", "nil", "undefined", "tbd", "todo", "empty", "blank", "placeholder", "no answer", "no response", "answer", "final answer", "the answer is", "result", "response", "output", "text", "json"})
+_PLACEHOLDERS = frozenset(p.replace(" ", "") for p in PLACEHOLDERS)
 _MARKS = re.compile(r"<[^<>]*>|\\(?:boxed|fbox|text|mathrm|mbox)\s*(?=\{)")
 _NOT_WORDS = re.compile(r"[\W_]+")
 _STEPS = re.compile(r"\d\s*[-+*/×÷=−]\s*\d|=\s*\d")
@@ -49,7 +50,7 @@ def is_empty(text: str | None) -> bool:
     seen = visible(text)
     if len(seen) > 60:
         return False
-    return _NOT_WORDS.sub(" ", _MARKS.sub(" ", seen)).strip().lower() in PLACEHOLDERS
+    return _NOT_WORDS.sub("", _MARKS.sub(" ", seen)).lower() in _PLACEHOLDERS
 
 
 def state(text: str | None) -> tuple[str, float, str]:

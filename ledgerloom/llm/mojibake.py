@@ -130,6 +130,8 @@ def _legitimate(text: str, span: Span, alone: bool) -> bool:
             return True  # a quoted letter
         if before.isalpha() and before.isupper() and not after.isalpha():
             return True  # the last letter of a quoted word in capitals
+    if alone and before.isdigit() and any("Ѐ" < c <= "ӿ" and c not in CYRILLIC_LETTERS for c in seq):
+        return False
     if alone and all("Ѐ" <= c <= "ӿ" for c in seq):
         return not (before.isascii() and before.isalpha() or after.isascii() and after.isalpha())
     if alone and (span.text in CYRILLIC_LETTERS or span.text in GREEK and seq[0] in "Οο"):
@@ -201,9 +203,9 @@ def cyrillic_spans(text: str) -> list[Span]:
 def _best_pair(words: list[re.Match], runs: list[re.Match]) -> list[tuple[int, int, str, str]]:
     seen = "".join(m.group() for m in words)
     before = _likelihood(seen)
-    if before / len(seen) > -2.35:
+    if before / len(seen) > -2.2:
         return []  # it reads as Russian already
-    best, best_score = None, before + 0.35 * len(seen)
+    best, best_score = None, before + 0.25 * len(seen)
     for name, table in _CYRILLIC_MAPS.items():
         meant = ["".join(table.get(c, c) for c in m.group()) for m in words]
         score = _likelihood("".join(meant))
