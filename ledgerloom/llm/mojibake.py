@@ -195,7 +195,13 @@ def cyrillic_spans(text: str) -> list[Span]:
         sentence = text[at:end]
         runs = [m for m in _FOREIGN.finditer(sentence) if any(c.isalpha() for c in m.group())]
         if sum(len(m.group()) for m in runs) >= 6 and max(len(m.group()) for m in runs) >= 3:
-            out += [Span(at + s, at + e, t, n) for s, e, t, n in _best_pair([m for m in runs if len(m.group()) > 1], runs)]
+            found = _best_pair([m for m in runs if len(m.group()) > 1], runs)
+            if not found:  # perhaps only a part of the sentence, told by its odd capitals
+                odd = [k for k, m in enumerate(runs) if len(m.group()) > 2 and (m.group().isupper() or not _cased(m.group()))]
+                part = runs[odd[0] : odd[-1] + 1] if odd else []
+                if sum(len(m.group()) for m in part) >= 6 and len(part) < len(runs):
+                    found = _best_pair([m for m in part if len(m.group()) > 1], part)
+            out += [Span(at + s, at + e, t, n) for s, e, t, n in found]
         at = gap.end() if gap else end
     return out
 
@@ -247,7 +253,11 @@ def spans(text: str | None) -> list[Span]:
         return []
     found = utf8_spans(text)
     taken = [(s.start, s.end) for s in found]
-    more = cyrillic_spans(text) + latin_spans(text)
+    rest = list(text)
+    for a, b in taken:
+        rest[a:b] = " " * (b - a)
+    rest = "".join(rest)
+    more = cyrillic_spans(rest) + latin_spans(rest)
     found += [s for s in more if not any(a < s.end and s.start < b for a, b in taken)]
     left = [m for m in _LEFT_OVER.finditer(text) if not any(a < m.end() and m.start() < b for a, b in taken)]
     if len(left) > 1 or left and found:
