@@ -78,8 +78,10 @@ def _let(value: Column, body) -> Column:
 
 def replay(spark: SparkSession, cells: DataFrame, named: tuple, policies: tuple) -> DataFrame:
     """One row for each schedule, policy, seed and round: the baseline used, what happened to it, the decision."""
-    duel = duels(cells).select("seed", F.concat_ws("|", "t", "d", "x", "ref_slot", "ref_round", "ref_d", "ref_x").alias("k"), F.struct("w", "l", "n").alias("v"))
-    duel = duel.groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("duel"))  # rounds x slots, whatever the number of items
+    duel = duels(cells).select("seed", F.concat_ws("|", "t", "d", "x").alias("at"), F.concat_ws("|", "ref_slot", "ref_round", "ref_d", "ref_x").alias("k"), F.struct("w", "l", "n").alias("v"))
+    # two levels, as a map is searched from its start; its size follows rounds x slots, not the items
+    duel = duel.groupBy("seed", "at").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    duel = duel.groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("at", "m"))).alias("duel"))
     gt = ground_truth(cells).select("seed", F.concat_ws("|", "decoding", "slot", "draw", "extractor").alias("k"), F.col("acc").alias("v"))
     gt = gt.groupBy("seed").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("gt"))
     steps = schedules(spark, named).groupBy("schedule").agg(F.sort_array(F.collect_list(F.expr(_STEP))).alias("steps"))
@@ -121,8 +123,8 @@ def replay(spark: SparkSession, cells: DataFrame, named: tuple, policies: tuple)
 
         def decided(a: Column) -> Column:
             state, ref, what = a["s"], a["r"]["ref"], a["r"]["what"]
-            key = F.concat_ws("|", step["t"], step["d"], step["x"], ref["slot"], ref["round"], ref["d"], ref["x"])
-            judged = F.struct(F.element_at(F.col("duel"), key).alias("v"), truth(step["t"], step).alias("gc"), truth(state["inc"], step).alias("gi"))
+            key = F.concat_ws("|", ref["slot"], ref["round"], ref["d"], ref["x"])
+            judged = F.struct(F.element_at(F.element_at(F.col("duel"), F.concat_ws("|", step["t"], step["d"], step["x"])), key).alias("v"), truth(step["t"], step).alias("gc"), truth(state["inc"], step).alias("gi"))
 
             def logged(j: Column) -> Column:
                 oracle = F.col("kind") == "oracle"
@@ -252,6 +254,52 @@ def ablations(spark, d):
     return rows.groupBy("schedule", "policy").agg(yes.alias("n_accepted"), wrong.alias("n_false"), F.round(rate(wrong, yes), 9).alias("far"), F.sum("calls").alias("calls"))
 
 
+def random_schedules(n: int, seed: int = 7, changes: int = 2) -> tuple:
+    """``n`` schedules with ``changes`` changes at distinct rounds, each to another environment; the first m of them don't depend on n."""
+    import random
+
+    names = [e for e, _, _ in ENVS]
+    out = []
+    for k in range(n):
+        rng = random.Random(f"{seed}|{k}")
+        env, parts = "E1", [(0, "E1")]
+        for t in sorted(rng.sample(range(1, R + 1), changes)):
+            env = rng.choice([e for e in names if e != env])
+            parts.append((t, env))
+        out.append((f"R{k:03d}", tuple(parts)))
+    return tuple(out)
+
+
+RANDOM = random_schedules(30)
+
+
+@query(
+    duck(_replay_sql(RANDOM))
+    + """, s AS (SELECT schedule, policy, count(*) FILTER (false_accept) / nullif(count(*) FILTER (accepted), 0) AS far, sum(calls) AS calls FROM o GROUP BY 1, 2)
+    SELECT policy, count(*) AS n_schedules, round(avg(far), 9) AS far_mean, round(max(far), 9) AS far_max, CAST(sum(calls) AS BIGINT) AS calls FROM s GROUP BY 1"""
+)
+def schedule_randomization(spark, d):
+    """False accepts of each policy over randomized schedules."""
+    rows = replay(spark, packed(scores(spark, d)), RANDOM, POLICIES)
+    each = rows.groupBy("schedule", "policy").agg(rate(F.count_if("false_accept"), F.count_if("accepted")).alias("far"), F.sum("calls").alias("calls"))
+    return each.groupBy("policy").agg(F.count(F.lit(1)).alias("n_schedules"), F.round(F.avg("far"), 9).alias("far_mean"), F.round(F.max("far"), 9).alias("far_max"), F.sum("calls").alias("calls"))
+
+
+@query(
+    duck(_replay_sql(ABLATIONS[:1]))
+    + """, c AS (SELECT policy, seed, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(calls + n) + CASE WHEN policy = 'ORACLE' THEN 0 ELSE max(n) END AS BIGINT) AS calls_full, CAST(sum(calls - 1 - 2 * n) AS BIGINT) AS calls_reference FROM o GROUP BY 1, 2)
+    SELECT policy, seed, calls, calls_full, calls_reference, round(calls / CAST(max(calls) FILTER (policy = 'P2') OVER (PARTITION BY seed) AS DOUBLE), 9) AS ratio_to_p2 FROM c"""
+)
+def policy_costs(spark, d):
+    """Model calls per seed: the lean convention, the full one (candidate development and the first baseline too), those for references, and the ratio to refreshing every round."""
+    from pyspark.sql import Window
+
+    first = F.when(F.col("policy") == "ORACLE", F.lit(0)).otherwise(F.max("n"))
+    rows = _default(spark, d).groupBy("policy", "seed").agg(F.sum("calls").alias("calls"), (F.sum(F.col("calls") + F.col("n")) + first).cast("bigint").alias("calls_full"), F.sum(F.col("calls") - 1 - 2 * F.col("n")).alias("calls_reference"))
+    p2 = F.max(F.when(F.col("policy") == "P2", F.col("calls"))).over(Window.partitionBy("seed"))
+    return rows.withColumn("ratio_to_p2", F.round(F.col("calls") / p2, 9))
+
+
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {t}, '{e}')" for n, c in ABLATIONS for t, e in dense(c)) + ") AS v(schedule, t, env)")
 def schedule_dense(spark, d):
     return schedules(spark, ABLATIONS).select("schedule", "t", "env")
