@@ -34,8 +34,9 @@ from ledgerloom.llm.truncation import limit_of, with_verdict
 from ledgerloom.operators.skew import hot_keys, salted_join
 
 # Words that stand for no answer.
-PLACEHOLDERS = frozenset({"", "none", "null", "na", "nan", "nil", "undefined", "tbd", "todo", "empty", "blank", "placeholder", "no answer", "no response", "answer", "final answer", "the answer is", "result", "response", "output", "text", "json"})
-_PLACEHOLDERS = frozenset(p.replace(" ", "") for p in PLACEHOLDERS)
+PLACEHOLDERS = frozenset({"", "none", "null", "na", "nan", "nil", "undefined", "tbd", "todo", "empty", "blank", "placeholder", "noanswer", "noresponse"})
+# Labels that stand before an answer.
+LABELS = frozenset({"answer", "finalanswer", "result", "finalresult", "response", "output", "antwort", "endergebnis", "ergebnis", "respuesta", "respuestafinal", "réponse", "réponsefinale"})
 _MARKS = re.compile(r"<[^<>]*>|\\(?:boxed|fbox|text|mathrm|mbox)\s*(?=\{)")
 _NOT_WORDS = re.compile(r"[\W_]+")
 _STEPS = re.compile(r"\d\s*[-+*/×÷=−]\s*\d|=\s*\d")
@@ -50,7 +51,10 @@ def is_empty(text: str | None) -> bool:
     seen = visible(text)
     if len(seen) > 60:
         return False
-    return _NOT_WORDS.sub("", _MARKS.sub(" ", seen)).lower() in _PLACEHOLDERS
+    if seen.count("{") > seen.count("}") or seen.endswith("\\["):
+        return False  # a mark that breaks off
+    words = _NOT_WORDS.sub("", _MARKS.sub(" ", seen)).lower()
+    return words in PLACEHOLDERS or words in LABELS and seen.endswith((":", "："))
 
 
 def state(text: str | None) -> tuple[str, float, str]:

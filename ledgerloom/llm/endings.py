@@ -29,6 +29,8 @@ _CLOSERS = {"\\[": "\\]", "\\(": "\\)", "$": "$", "`": "`"}
 _BLANK = re.compile(r"[\s\u200b\u200c\u200d\ufeff\u00ad\u2060]+")
 _STEPS = re.compile(r"[\d)][ \t]*[-+*/×÷=−][ \t]*[-−(]?\d|=")
 
+#: A number and nothing else, or with a unit and a stop.
+_BARE = re.compile(rf"[\W_]*{NUMBER}(?:[\W_]*|[ \t]*[^\W\d_]+\.)")
 _SENTENCES = re.compile(r"(?<=[.。!?])\s+|\n+")
 _MARKUP = re.compile(rf"\\|\*\*|#|[:=>$]\s*$|(?:{_WORD})", re.I)
 
@@ -82,6 +84,8 @@ def ending(text: str | None) -> tuple[float, bool]:
     s = (text or "").rstrip()
     if not s:
         return 0.0, False
+    if len(s) < 60 and _BARE.fullmatch(s.strip()):
+        return CLOSED, True
     # the last statement mostly stands near the end; if none does, the whole text is searched
     offset = max(0, len(s) - NEAR)
     found = _statement(s[offset:])

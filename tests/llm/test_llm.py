@@ -156,7 +156,7 @@ def test_suffix_automaton_finds_every_run():
 Q = "A farmer named Bo starts with 40 liters in the tank and then pours in 12 liters. How many liters are in the tank of Bo now?"
 RESPONSES = [
     (None, "empty"), ("", "empty"), ("​ \n", "empty"), ("N/A", "empty"), ("\\boxed{}", "empty"), ("<answer></answer>", "empty"), ("####", "empty"), ("```\n```", "empty"),
-    ("#### 52", None), ("\\boxed{52}", None), ("The answer is 52.", None),
+    ("#### 52", None), ("52", None), ("1,204.", None), ("52 liters.", None), ("\\boxed{", "truncated"), ("\\boxed{52}", None), ("The answer is 52.", None),
     ("The tank holds 40 + 12 = 52 liters.\nSo the result is 52.\nANSWER -> 52\nHope this helps", None),
     ("The tank holds 40 + 12 = 52 liters. So the result is 52.\n\\[ \\boxed{52} \\]", None),
     ("The tank holds 40 + 12 = 52 liters. So the result is 52.\n\\[ \\boxed{52}", "truncated"),
