@@ -37,20 +37,20 @@ def boxes(text: Column, command: str = "boxed") -> Column:
 def last_hash_line(text: Column) -> Column:
     """What follows the last '####' on its line, trimmed; null without one."""
     rest = F.substring_index(F.substring_index(text, "####", -1), "\n", 1)
-    return F.when(text.contains("####"), F.trim(F.regexp_replace(rest, r"^\s+|\s+$", "")))
+    return F.when(text.contains("####"), F.regexp_replace(rest, r"(?U)^\s+|\s+$", ""))
 
 
 def marker(text: Column) -> Column:
     """struct(kind, content) of the later of the last balanced box and the last '####' line; null without either."""
     box, hashed = _last(boxes(text)), last_hash_line(text)
     later = F.when(hashed.isNull(), box.isNotNull()).otherwise(F.size(boxes(F.substring_index(text, "####", -1))) > 0)
-    trimmed = F.regexp_replace(box, r"^\s+|\s+$", "")
+    trimmed = F.regexp_replace(box, r"(?U)^\s+|\s+$", "")
     return F.when(later, F.struct(F.lit("boxed").alias("kind"), trimmed.alias("content"))).when(hashed.isNotNull(), F.struct(F.lit("hash").alias("kind"), payload(hashed).alias("content")))
 
 
 def payload(line: Column) -> Column:
     """A '####' line without one final point."""
-    return F.regexp_replace(line, r"\s*\.$", "")
+    return F.regexp_replace(line, r"(?U)\s*\.$", "")
 
 
 def canonical_decimal(number: Column) -> Column:
@@ -71,5 +71,5 @@ def extract_strict(text: Column) -> Column:
 
 def canonical_gold(gold: Column) -> Column:
     """Canonical text of a gold answer: commas and spaces dropped, the Unicode minus and quotients read."""
-    s = F.regexp_replace(ascii_digits(gold), r"[\s,]", "")
+    s = F.regexp_replace(ascii_digits(gold), r"(?U)[\s,]", "")
     return F.when(s.contains("/"), canonical_quotient(s)).otherwise(canonical_decimal(s))

@@ -46,7 +46,7 @@ def items_by_key(spark, d):
 
 @query(
     r"""SELECT split, idx, gold, told FROM (SELECT split, idx, gold, CASE WHEN contains(answer_text, '####') THEN
-    replace(trim(split_part(list_extract(string_split(answer_text, '####'), -1), chr(10), 1)), ',', '') END AS told FROM """
+    replace(regexp_replace(split_part(list_extract(string_split(answer_text, '####'), -1), chr(10), 1), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g'), ',', '') END AS told FROM """
     + I
     + r""") WHERE told IS NULL OR TRY_CAST(replace(gold, ',', '') AS DOUBLE) IS DISTINCT FROM TRY_CAST(told AS DOUBLE)"""
 )
@@ -362,10 +362,11 @@ def seed_derivation(spark, d):
 
 
 _NUM = r"^-?\d+(\.\d+)?$"
-_HASHED = "trim(split_part(list_extract(string_split(response, '####'), -1), chr(10), 1))"
+_TRIM = r"'^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g'"
+_HASHED = f"regexp_replace(split_part(list_extract(string_split(response, '####'), -1), chr(10), 1), {_TRIM})"
 _BOXED = r"list_extract(regexp_extract_all(response, '\\boxed\s*\{([^{}]*)\}', 1), -1)"
 _STRICT = rf"""CASE WHEN contains(response, '####') AND len(regexp_extract_all(list_extract(string_split(response, '####'), -1), '\\boxed\s*\{{[^{{}}]*\}}')) = 0
-    THEN trim(regexp_replace({_HASHED}, '\.$', '')) ELSE trim({_BOXED}) END"""
+    THEN regexp_replace({_HASHED}, '[\s\x{{00A0}}]*\.$', '') ELSE regexp_replace({_BOXED}, {_TRIM}) END"""
 
 
 @query(rf"SELECT gen_key, CASE WHEN regexp_full_match(m, '-?\d+(\.\d+)?') THEN CAST(m AS DOUBLE) END AS value FROM (SELECT gen_key, {_STRICT} AS m FROM (SELECT DISTINCT gen_key, response FROM generations))")
