@@ -74,14 +74,14 @@ class Index:
         first = np.ones(len(every), bool)
         first[1:] = (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])
         starts = np.flatnonzero(first)
-        tf = np.diff(np.append(starts, len(every))).astype(np.float32)
+        tf = np.diff(np.append(starts, len(every))).astype(np.float64)
         term, self.docs = every[starts], owner[starts]
         self.terms, at = np.unique(term, return_index=True)
         self.offsets = np.append(at, len(term)).astype(np.int64)
         df = np.diff(self.offsets)
         self.idf = np.log(1.0 + (len(items) - df + 0.5) / (df + 0.5)).astype(np.float64)
         per = np.repeat(self.idf, df)
-        self.weights = (per * tf * (K1 + 1.0) / (tf + K1)).astype(np.float64)  # at least idf, as tf >= 1
+        self.weights = np.maximum(per, per * tf * (K1 + 1.0) / (tf + K1))  # at least idf, as tf >= 1
         self.most = np.maximum.reduceat(self.weights, self.offsets[:-1]) if len(term) else np.empty(0)
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
@@ -99,7 +99,7 @@ class Index:
         """Items whose score for these distinct terms is at least ``threshold``, by block-max WAND."""
         lists = [_Cursor(self, int(t)) for t in terms]
         found = []
-        least = threshold - 1e-6
+        least = threshold - max(1e-6, 1e-9 * threshold)  # sums differ in their last digits by the order of the terms
         while lists:
             lists.sort(key=_Cursor.current)
             bound, pivot = 0.0, -1

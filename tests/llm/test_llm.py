@@ -138,6 +138,16 @@ def test_wand_equals_full_scoring():
     assert leakage.Index([], 5, 13).leaks(["a b c " * 9, None]) == [[], []]
 
 
+@pytest.mark.parametrize("n", [300, 1500])
+def test_isolated_runs_are_found_among_many_items(n):
+    texts = [[f"x{i}y{j}" for j in range(20)] for i in range(n)]
+    index = leakage.Index([((i,), [w, []]) for i, w in enumerate(texts)], 5, 13)
+    docs = [f"in front {' '.join(w[i % 8 : i % 8 + 13])} and behind" for i, w in enumerate(texts)]
+    assert index.leaks(docs) == [[i] for i in range(n)]
+    assert index.leaks([" ".join(w[:12]) for w in texts]) == [[]] * n
+    assert (index.weights >= np.repeat(index.idf, np.diff(index.offsets))).all()
+
+
 def test_suffix_automaton_finds_every_run():
     rng = random.Random(1)
     tokens = [rng.choice("abc") for _ in range(40)]
