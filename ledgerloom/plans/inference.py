@@ -12,7 +12,7 @@ from ledgerloom.plans.pairs import _Z, _pairs_sql, all_pairs
 from ledgerloom.plans.store import _SCORES, C, cells, scores
 from ledgerloom.registry import query
 
-REPLICATES = 200
+REPLICATES = 2000
 
 
 @query(

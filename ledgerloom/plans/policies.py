@@ -270,7 +270,7 @@ def random_schedules(n: int, seed: int = 7, changes: int = 2) -> tuple:
     return tuple(out)
 
 
-RANDOM = random_schedules(30)
+RANDOM = random_schedules(200)
 
 
 @query(

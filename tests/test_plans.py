@@ -87,3 +87,10 @@ def test_inflation_splits(spark):
     assert off.count() == 0
     assert set(ORACLES) <= set(QUERIES)
     assert len(ABLATIONS) == 5
+
+
+def test_replicates_and_schedules_are_those_of_the_plan(spark):
+    from ledgerloom.plans import inference, policies
+
+    assert inference.REPLICATES == 2000 and len(policies.RANDOM) == 200
+    assert {r["n_schedules"] for r in policies.schedule_randomization(spark, "/root/testdata/sf0.001").collect()} == {200}
