@@ -40,8 +40,9 @@ def prompt_violations(spark, d):
     """What is wrong with each prompt as a candidate; a duplicate has the normal form of one with a lower hash."""
     p = _prompts(spark, d).withColumn("h", F.sha2(normal_form(F.col("text")), 256))
     first = p.groupBy("h").agg(F.min("prompt_hash").alias("first"))
-    rows = p.join(first, "h")
-    found = violations(F.col("text"), F.col("prompt_hash") > F.col("first"), F.lit(False), LEAST, MOST)
+    leaking = prompt_gold_leaks(spark, d).select("prompt_hash").distinct().withColumn("leaks", F.lit(True))
+    rows = p.join(first, "h").join(leaking, "prompt_hash", "left")
+    found = violations(F.col("text"), F.col("prompt_hash") > F.col("first"), F.col("leaks"), LEAST, MOST)
     return rows.select("prompt_hash", F.array_join(found, ",").alias("violations"))
 
 

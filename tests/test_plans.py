@@ -94,3 +94,13 @@ def test_replicates_and_schedules_are_those_of_the_plan(spark):
 
     assert inference.REPLICATES == 2000 and len(policies.RANDOM) == 200
     assert {r["n_schedules"] for r in policies.schedule_randomization(spark, "/root/testdata/sf0.001").collect()} == {200}
+
+
+def test_prompt_with_a_gold_is_no_clean_prompt(spark, tmp_path):
+    from ledgerloom.plans.texts import prompt_violations
+
+    say = "Solve the problem step by step, check the result twice and write the answer in \\boxed{} at the end. "
+    prompts = [("a", say * 2 + "The answer is 1,234."), ("b", say * 2 + "There are 1234567 ways."), ("c", say * 2 + "Use 12.")]
+    spark.createDataFrame(prompts, "prompt_hash string, text string").write.parquet(f"{tmp_path}/prompts.parquet")
+    spark.createDataFrame([("test", 0, "q", "1234", "a"), ("test", 1, "q", "12", "a")], "split string, idx int, question string, gold string, answer_text string").write.parquet(f"{tmp_path}/items.parquet")
+    assert rows(prompt_violations(spark, str(tmp_path))) == [("a", "leaks_gold"), ("b", ""), ("c", "")]
