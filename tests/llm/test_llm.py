@@ -12,8 +12,9 @@ pytest.importorskip("ledgerloom.llm")
 
 from ledgerloom.llm import defects, leakage, mixing, mojibake, neardup, overlap, queries, truncation  # noqa: E402
 from ledgerloom.llm.copying import SuffixAutomaton, coverage  # noqa: E402
-from ledgerloom.llm.endings import ending  # noqa: E402
+from ledgerloom.llm.endings import KINDS, ending, unclosed  # noqa: E402
 from ledgerloom.llm.language import language  # noqa: E402
+from ledgerloom.llm.refusals import declines  # noqa: E402
 from ledgerloom.sources.tables import table  # noqa: E402
 
 D = "/root/testdata/sf0.001"
@@ -186,15 +187,78 @@ def test_defects(spark):
     g = spark.createDataFrame(rows + rows[:5], "gen_key string, user_hash string, model_id string, response string, finish_reason string, n_completion_tokens int, decoding_json string").withColumn("state", F.lit("x")).withColumn("question", F.lit(1))
     items = spark.createDataFrame([(Q, "core"), (None, None)], "question string, text string")
     got = {r.gen_key: r.defect for r in defects.verdicts(g, items).collect()}
-    assert got == {f"g{i:02d}": want for i, (_, want) in enumerate(RESPONSES)} | {"unknown": None}
+    want = {f"g{i:02d}": want for i, (_, want) in enumerate(RESPONSES)} | {"unknown": None}
+    assert {k: (v, got[k]) for k, v in want.items() if got[k] != v} == {} and len(got) == len(want)
     none = defects.verdicts(g.limit(0), items.limit(0))
     assert none.count() == 0
 
 
 def test_long_response():
     text = "The tank holds 40 + 12 = 52 liters. " * 20000
-    assert defects.state(text + "\\boxed{52}")[0] == "done" and defects.state(text + "The")[0] == "open"
-    assert ending(None) == (0.0, False) and language(None) == ""
+    assert defects.judge(None, None, text + "\\boxed{52}")[0] == "told" and defects.judge(Q, "en", text + "The")[:2] == ("untold", "inside")
+    assert ending(None).kind == "inside" and language(None) == ""
+    assert defects.is_empty("<answer></answer> " * 600) and defects.is_empty("N/A. " * 2000) and not defects.is_empty("N/A. " * 2000 + "5")
+
+
+def test_padding_in_front_changes_no_kind():
+    for tail in ("#### 9 apples", "The answer is 52.\nHope this helps", "so 4 + 5 = 9. **9**", "and the tank has 4", "The result is 9 apples and then", "\\[ \\boxed{52} \\]"):
+        kinds = {ending("Some words here. " * n + "\n" + tail).kind for n in (1, 5, 14, 15, 16, 40, 400)}
+        assert len(kinds) == 1, (tail, kinds)
+
+
+def test_delimiter_stack():
+    names = lambda text: [d for d, _ in unclosed(text)]
+    assert names("\\[ \\boxed{\\frac{1}{2}} \\]") == [] and names("\\[ \\boxed{\\frac{1}{2}") == ["\\[", "{"]
+    assert names("it costs $5 and then $6") == [] and names("$5 + 6$ and $x") == ["$"] and names("**52") == ["**"] and names("**52** `a") == ["`"]
+    assert names("a) first \\} (b") == ["("] and names("<answer>5</answer><answer>") == ["<answer>"] and names("") == []
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("Let us see. \\boxed{7} is what the first basket holds, and the second basket then has some mor", "mark_run_on"),
+        ("Thus 4 + 5 = 9. The total comes to \\boxed{9} in all", "mark_single"),
+        ("Thus 4 + 5 = 9.\nSo the result is 9.\nThe total comes to \\boxed{9} in all", "mark_closing"),
+        ("4 + 59 = 63. So 63.\nSo the result is 6", "said_prefix"),
+        ("4 + 59 = 63. So the result is 63", "said_once"),
+        ("\\boxed{5} and then 5 + 3 = 8", "mark_steps"),
+        ("We get 4 + 5 = 9.\n$\\boxed{9}", "mark_open"),
+        ("4 + 5 = 9 apples in all. There are 9.", "restated"),
+        ("4 + 5 = 9 apples. Nothing else matters.", "whole"),
+    ],
+)
+def test_kinds_of_ends(text, kind):
+    assert ending(text).kind == kind
+
+
+def test_copies_read_the_whole_response():
+    q = "What is the total of 5 apples and 6 pears that Bo has in the big basket?"
+    assert defects.judge(q, "en", f"{q} {q}")[0] == "copy"
+    assert defects.judge(q, "en", f"{q} The answer is 11.")[0] == "told" and defects.judge(q, "en", f"{q}\n#### 11")[0] == "told"
+    assert defects.judge(q, "en", "The total so far is 5. I'd rather not go on with this.")[0] == "refusal"
+
+
+@pytest.mark.parametrize(
+    "text,no",
+    [
+        ("Dabei möchte ich lieber nicht helfen.", True), ("Ich kann diese Aufgabe nicht lösen.", True), ("Wir können nicht mehr als 7 haben.", False), ("Ich kann die 7 schon sehen. Das ist nicht schwer.", False),
+        ("Je ne peux malheureusement pas répondre.", True), ("On ne peut pas avoir plus de 7.", False), ("No puedo contestar a esto.", True), ("Não consigo responder.", True), ("Не могу ответить.", True),
+        ("We cannot have more than 7.", False), ("That is something I won’t discuss.", True), ("", False),
+    ],
+)
+def test_refusals(text, no):
+    assert declines(text) is no
+
+
+def test_lengths_decide_what_the_end_leaves_open():
+    """A whole result without its stop is complete, unless many values have just its length."""
+    counts = [("said_once", "stop", "field", 0.9, 30.0), ("inside", "stop", "field", 0.9, 270.0), ("said_once", "stop", "none", 0.0, 30.0), ("mark", "stop", "none", 0.0, 9000.0), ("inside", "stop", "none", 0.0, 100.0), ("mark", "limit", "token", 0.97, 50.0), ("inside", "limit", "token", 0.97, 150.0)]
+    reasons, shares = truncation.end_weights(counts)
+    odds = lambda kind, reason, limit, p: KINDS[kind] + reasons[reason, limit] + math.log(shares[limit, p] / (1 - shares[limit, p]))
+    assert odds("said_once", "stop", "field", 0.9) > 0 > odds("said_once", "stop", "none", 0.0)
+    assert odds("mark", "limit", "token", 0.97) < 0 < odds("inside", "stop", "none", 0.0)
+    assert 0.6 < shares["token", 0.97] < 0.85
+    assert truncation.end_weights([])[1]["none", 0.0] == pytest.approx(truncation.LOST)
 
 
 def test_censored_fit_recovers_the_distribution():
@@ -207,8 +271,11 @@ def test_censored_fit_recovers_the_distribution():
     assert abs(mu - 5.5) < 0.02 and abs(sigma - 0.4) < 0.02
     import pandas as pd
 
-    fit = truncation.fit_source(pd.DataFrame({"length": length, "n": n, "n_open": opened}))
-    assert list(fit["limits"]) == [256] and fit["limits"][256] > 0.95
+    fit = truncation.fit_source(pd.DataFrame({"length": length, "n": n}))
+    assert [x[:2] for x in fit["limits"]] == [[256.0, None]] and fit["limits"][0][2] > 0.9 and abs(fit["mu"] - 5.5) < 0.02
+    stated = truncation.fit_source(pd.DataFrame({"length": length, "n": n, "token_limit": 256}))
+    assert [x[:2] for x in stated["limits"]] == [[256.0, 256.0]] and stated["limits"][0][2] > 0.9
+    assert truncation.fit_source(pd.DataFrame({"length": [7], "n": [1]}))["limits"] == []
 
 
 def test_mixing(spark):
