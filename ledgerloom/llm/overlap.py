@@ -2,8 +2,9 @@
 
 Each compared field of a record becomes a set of word shingles.  Evaluation
 records index the prefixes of their rarest shingles, training records probe with
-theirs under the length and position filters, and the candidates are verified on
-the whole sets.  Records of one side with equal sets are joined once.
+theirs under the length and position filters, in one pass for both directions
+(either may be the smaller set), and the candidates are verified on the whole sets.
+Records with equal sets are joined once.
 
 Nulls and texts with fewer words than a shingle never match.  Repeated rows
 count once; rows of one key with different texts are all compared.
@@ -17,18 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.lineage import cut
-from ledgerloom.llm.setjoin import bipartite_join, records
+from ledgerloom.llm.setjoin import similar_pairs
 from ledgerloom.llm.words import shingles, words
+from ledgerloom.operators.skew import salted_join
 
 TRAINING = "train"
 
 
 def field_sets(items: DataFrame, fields: list[str], k: int) -> DataFrame:
-    """(field, held, split, idx, tokens, id), one row for each compared field of a record; ``id`` names its set."""
+    """(split, idx, field, held, tokens, id), one row for each compared field of a record; ``id`` names its set within the field."""
     texts = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(f).alias("text")) for i, f in enumerate(fields)])).alias("e")
     rows = items.where(F.col("split").isNotNull() & F.col("idx").isNotNull()).select("split", "idx", texts)
     sets = rows.select("split", "idx", F.col("e.field").alias("field"), (F.col("split") != TRAINING).alias("held"), F.sort_array(shingles(words(F.col("e.text")), k)).alias("tokens"))
-    return sets.where(F.size("tokens") > 0).withColumn("id", F.xxhash64("tokens")).dropDuplicates(["field", "split", "idx", "id"])
+    named = sets.where(F.size("tokens") > 0).withColumn("id", F.xxhash64("field", "tokens"))
+    return named.groupBy("split", "idx", "field", "held", "id").agg(F.first("tokens").alias("tokens"))
 
 
 def overlaps(items: DataFrame, fields: list[str], k: int = 5, t: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -37,12 +40,14 @@ def overlaps(items: DataFrame, fields: list[str], k: int = 5, t: Fraction = Frac
     Default: five-word shingles, 0.8.
     """
     sets = cut(field_sets(items, fields, k))
-    classes = sets.groupBy("field", "held", "id").agg(F.first("tokens").alias("tokens"))  # equal within a class
-    # frequencies count both sides, so that they have one order
-    both = classes.groupBy("field", "id").agg(F.first("tokens").alias("tokens"), F.bool_or("held").alias("held"), F.bool_or(~F.col("held")).alias("probe"))
-    ranked = cut(records(both, t, 1, "field").join(both.select("field", "id", "held", "probe"), ["field", "id"]))
-    same = ranked.where("held AND probe").select("field", F.col("id").alias("a"), F.col("id").alias("b"))
-    near = bipartite_join(ranked.where("held"), ranked.where("probe"), t, "field").unionByName(same)
-    held = sets.where("held").select("field", F.col("id").alias("a"), F.col("split").alias("split_a"), F.col("idx").alias("idx_a"))
-    train = sets.where("NOT held").select("field", F.col("id").alias("b"), F.col("split").alias("split_b"), F.col("idx").alias("idx_b"))
-    return near.join(held, ["field", "a"]).join(train, ["field", "b"]).select("split_a", "idx_a", "split_b", "idx_b", "field")
+    # equal within a class; which side of the join it is on: 1 evaluation, 2 training, 3 both
+    classes = cut(sets.groupBy("id", F.col("field").alias("space")).agg(F.first("tokens").alias("tokens"), F.bit_or(F.when(F.col("held"), 1).otherwise(2)).alias("sides")))
+    found = similar_pairs(classes, t, 1)
+    both = found.select(F.col("s").alias("a"), F.col("l").alias("b")).unionByName(found.select(F.col("l").alias("a"), F.col("s").alias("b")))
+    near = cut(both.unionByName(classes.where("sides = 3").select(F.col("id").alias("a"), F.col("id").alias("b"))))
+    held = sets.where("held").select(F.col("id").alias("a"), F.col("split").alias("split_a"), F.col("idx").alias("idx_a"), "field")
+    train = sets.where("NOT held").select(F.col("id").alias("b"), F.col("split").alias("split_b"), F.col("idx").alias("idx_b"))
+    # a set that many records share is split over tasks on either side
+    pairs = salted_join(held, near, "a", F.xxhash64("split_a", "idx_a"), "inner")
+    pairs = salted_join(train, pairs, "b", F.xxhash64("split_b", "idx_b"), "inner")
+    return pairs.select("split_a", "idx_a", "split_b", "idx_b", "field")

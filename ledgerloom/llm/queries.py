@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.lineage import cut
-from ledgerloom.llm import defects, leakage, mixing, mojibake, neardup, overlap, truncation
+from ledgerloom.llm import defects, leakage, mixing, mojibake, neardup, overlap, setjoin, truncation
 from ledgerloom.llm.oracles import oracle_sql
 from ledgerloom.sources.tables import table
 
@@ -24,7 +24,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per prompt: its class, the number of similar classes, and its group of linked prompts."""
     members, links = neardup.near_duplicates(table(spark, d, "prompts"), "prompt_hash", "text", 3, Fraction(1, 2))
-    return neardup.groups(members, cut(links)).withColumnRenamed("key", "prompt_hash")
+    return neardup.with_the_rest(neardup.groups(members, cut(links)), table(spark, d, "prompts", "prompt_hash"), "prompt_hash").withColumnRenamed("key", "prompt_hash")
+
+
+def p1_orders(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs of classes are left as candidates after each token order."""
+    _, classes = neardup.classes_of(table(spark, d, "prompts"), "prompt_hash", "text", 3)
+    return setjoin.pruning(setjoin.meetings(neardup.joinable(classes), Fraction(1, 2), 3), 3)
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -99,5 +105,5 @@ def p7_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_groups, p2_found, p3_found, p3_cut_rates, p4_found, p4_report, p5_found, p5_leaked_items, p6_mix_documents, p6_mix_shares, p7_found, p7_restored)
+    every = (p1_found, p1_groups, p1_orders, p2_found, p3_found, p3_cut_rates, p4_found, p4_report, p5_found, p5_leaked_items, p6_mix_documents, p6_mix_shares, p7_found, p7_restored)
     return {f.__name__: f for f in every}

@@ -1,18 +1,27 @@
-"""Similarity joins of token sets under one or several global token orders.
+"""Similarity joins of token sets under several global token orders.
 
 If the Jaccard similarity of two sets is at least t, then under *any* total order
 of the tokens the first ``n - ceil(t n) + 1`` tokens of both share a token; of the
-smaller set the first ``n - ceil(2t/(1+t) n) + 1`` will do.  Candidates come from
-the order by frequency, whose short prefixes of the smaller sets are the index and
-whose prefixes of the larger ones probe it, under these exact filters:
-
-* position and length: with the tokens left after the match the sets can still overlap enough;
-* bitmap: each set has the parity of its tokens in 256 hash buckets; sets that
-  differ in d tokens differ in at most d bits, so too many bits rule a pair out.
-
-A candidate must then share a prefix token under every further order too, before
-the whole sets are compared.  None of the filters loses a similar pair.  All
-arithmetic on the threshold is exact: it is a fraction of integers.
+smaller set the first ``n - ceil(2t/(1+t) n) + 1`` will do.  Every order gives
+posting lists of prefix tokens, in which pairs meet under three exact filters:
+
+* length: the list is sorted by size, and a set meets only the window of sizes up
+  to 1/t times its own;
+* position: with the tokens left after the match the sets can still overlap enough;
+* bitmap: a posting carries the parity of its set's tokens in 256 hash buckets; sets
+  that differ in d tokens differ in at most d bits.  Without it, texts that share
+  stock sentences meet in numbers that grow with the square of the input.
+
+A pair is a candidate only if it meets under every order.  That is decided on ids
+alone, by one aggregate of (pair, order); only then whole sets are fetched and
+verified.  None of the filters loses a similar pair, and all arithmetic on the
+threshold is exact: it is a fraction of integers.
+
+Orders go by how rare tokens are.  Any order will do for correctness, so counts
+come from a sketch of fixed width, the one thing that is broadcast, and no token
+is ever joined to its frequency.  The sketch never undercounts, so it also tells
+which tokens are surely in one set only, and need no posting, and in how many pieces
+of bounded size a hot token's list must be cut.
 """
 
 from __future__ import annotations
@@ -22,160 +31,208 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS64 = 4  # 64-bit words of a set's bitmap
+from ledgerloom.lineage import cut
+from ledgerloom.operators.skew import hot_keys, salted_join
 
+#: Counters of the sketch; a power of two.  4 bytes each are broadcast, whatever the input.
+WIDTH = 1 << 21
+#: Postings of a token that one group holds at most, and pairs that are compared at once.
+PIECE, AT_ONCE = 4000, 1_000_000
 
-def token_orders(tokens: Column, frequency: Column, n: int) -> list[Column]:
-    """Sort keys of ``n`` orders, all rare tokens first.
+BITS = ("b0", "b1", "b2", "b3")
+_POSTING = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("id", pa.int64()), ("rest", pa.int64()), *[(b, pa.int64()) for b in BITS]])
+_POSTING_DDL = "key long, n int, id long, rest long, b0 long, b1 long, b2 long, b3 long"
+#: Bits of ``rest``: may be the smaller set, may be the larger one, sides of the join; the order and the position follow above.
+SMALL, LARGE, LEFT, RIGHT, ORDER, POSITION = 1, 2, 4, 8, 4, 8
 
-    The first goes by frequency, the others by its binary magnitude, so that they
-    mix tokens of about the same rarity in another way each.
-    """
-    keys = [F.struct(frequency.alias("f"), tokens.alias("h"))]
-    for k in range(1, n):
-        keys.append(F.struct(F.floor(F.log2(frequency)).alias("f"), F.xxhash64(tokens, F.lit(k)).alias("h")))
-    return keys
 
+def _mix(x: np.ndarray, salt: int) -> np.ndarray:
+    """Another 64-bit hash of each token (wraps around)."""
+    z = x.view(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
-def prefix_length(n: Column, t: Fraction) -> Column:
-    """``n - ceil(t n) + 1``, the number of tokens that a set of ``n`` must show."""
-    return n - ((n * F.lit(t.numerator) + F.lit(t.denominator - 1)) / F.lit(t.denominator)).cast("int") + F.lit(1)
 
+def _flat(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, row of each) of a list array."""
+    sizes = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return tokens.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
 
-def bitmap(tokens: Column, word: int) -> Column:
-    """Parity of the tokens in each of the 64 buckets of one word of the bitmap."""
-    bit = lambda x: F.when(F.pmod(F.shiftrightunsigned(x, 6), F.lit(WORDS64)) == word, F.expr("1L")).otherwise(F.expr("0L"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", bit(x), x.bitwiseAND(F.lit(63)).cast("int"))))
 
+def bitmaps(tokens: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, 4) words: the parity of each set's tokens in 256 buckets."""
+    bucket = (tokens >> 40) & 255  # the low bits are the sketch's
+    odd = (np.bincount(row * 256 + bucket, minlength=rows * 256) & 1).astype(np.uint8).reshape(rows, 256)
+    return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
 
-def records(sets: DataFrame, t: Fraction, orders: int = 1, *by: str) -> DataFrame:
-    """(id, *by, n, tokens, b0.., o0..): each set with its bitmap and its prefix under each order.
 
-    ``sets`` has ``id`` and ``tokens`` (distinct bigints), and the columns ``by``
-    within which tokens are counted and compared.  Frequencies count all sets.
-    """
-    flat = sets.select("id", *by, F.size("tokens").alias("n"), F.explode("tokens").alias("tok"))
-    frequency = flat.groupBy(*by, "tok").agg(F.count(F.lit(1)).alias("df"))
-    keys = token_orders(F.col("tok"), F.col("df"), orders)
-    ranked = flat.join(frequency, [*by, "tok"]).select("id", *by, "n", "tok", *[key.alias(f"k{i}") for i, key in enumerate(keys)])
-    lists = ranked.groupBy("id", *by, "n").agg(*[F.sort_array(F.collect_list(F.struct(f"k{i}", "tok"))).alias(f"l{i}") for i in range(orders)])  # one set's own tokens
-    prefix = [F.transform(F.slice(F.col(f"l{i}"), F.lit(1), prefix_length(F.col("n"), t)), lambda x: x["tok"]).alias(f"o{i}") for i in range(orders)]
-    return lists.select("id", *by, "n", F.array_sort(F.transform("l0", lambda x: x["tok"])).alias("tokens"), *prefix).select("*", *[bitmap(F.col("tokens"), w).alias(f"b{w}") for w in range(WORDS64)])
+def sketch(sets: DataFrame) -> np.ndarray:
+    """Counts of all tokens of ``sets`` (tokens) by their hash; collisions add up."""
+    schema = pa.schema([("bucket", pa.int32()), ("c", pa.int64())])
+    width = WIDTH
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, np.int64)
+        for batch in batches:
+            total += np.bincount(_flat(batch.column("tokens"))[0] & (width - 1), minlength=width)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=schema)
+
+    rows = sets.select("tokens").mapInArrow(count, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # at most WIDTH rows
+    out = np.zeros(width, np.int32)
+    out[rows.column("bucket").to_numpy()] = np.minimum(rows.column("c").to_numpy(), (1 << 31) - 1)
+    return out
 
-def _postings(rows: DataFrame, t: Fraction, short: bool, *by: str) -> DataFrame:
-    most = prefix_length(F.col("n"), 2 * t / (1 + t)) if short else F.size("o0")
-    bits = [f"b{w}" for w in range(WORDS64)]
-    flat = rows.select("id", *by, "n", *bits, F.posexplode(F.slice(F.col("o0"), F.lit(1), most)).alias("p", "tok"))
-    return flat.select(F.xxhash64(*by, "tok").alias("key"), "id", "n", (F.col("p") + 1).alias("pos"), *bits, F.lit(short).alias("short"))
 
+def order_key(count: np.ndarray, tokens: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(major, minor) sort keys of tokens under one order.
 
-#: Share of all postings that one task gets of a token at most, and pairs that are compared at once.
-HOT, AT_ONCE = 0.001, 1_000_000
+    The first order goes by count.  The others keep only bands of sixteen times the
+    count and shuffle each band by a hash of their own: still no hot token comes
+    before a rare one, but which of the rarer tokens make a prefix differs.
+    """
+    if order == 0:
+        return count, _mix(tokens, 0)
+    return np.floor(np.log2(np.maximum(count, 1)) / 4.0).astype(np.int32), _mix(tokens, order)
 
 
-def _spread(postings: DataFrame) -> DataFrame:
-    """``postings`` with a column ``part``: the lists of hot tokens are cut on both sides and every pair of pieces becomes a group.
+def postings(sets: DataFrame, counts: np.ndarray, t: Fraction, orders: int) -> DataFrame:
+    """(key, n, id, rest, bitmap): the prefix tokens of each set (id, tokens, sides, and space, a number that keeps sets of another space apart)."""
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    num, den, width = t.numerator, t.denominator, WIDTH
+    num2, den2 = 2 * num, num + den
+    piece = PIECE
 
-    There are at most 1/HOT hot tokens, which bounds their broadcast.
-    """
-    counts = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    total = postings.agg((F.count(F.lit(1)) * F.lit(HOT)).alias("least"))
-    hot = counts.join(F.broadcast(total), F.col("c") > F.greatest(F.col("least"), F.lit(1000.0))).select("key", F.ceil(F.col("c") / F.greatest(F.col("least"), F.lit(1000.0))).cast("int").alias("cuts"))
-    rows = postings.join(F.broadcast(hot), "key", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
-    own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
-    others = F.sequence(F.lit(0), F.col("cuts") - 1)
-    group = F.when(F.col("short"), F.transform(others, lambda o: own * F.col("cuts") + o)).otherwise(F.transform(others, lambda o: o * F.col("cuts") + own))
-    return rows.withColumn("part", F.explode(group)).drop("cuts")
-
-
-def candidates(small: DataFrame, large: DataFrame, t: Fraction, ties: bool, *by: str) -> DataFrame:
-    """(s, l): ids of a set of ``small`` and a larger one of ``large`` that pass the filters of the first order.
-
-    Of sets of one size the one with the lower id counts as smaller; with ``ties``
-    both orders count.  The postings of each token come together sorted, and the
-    pairs within a token are compared in arrays.
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = shared.value
+        for batch in batches:
+            tokens, row = _flat(batch.column("tokens"))
+            if not len(tokens):
+                continue
+            ids, sides, spaces = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "sides", "space"))
+            size = np.bincount(row, minlength=len(ids))
+            first = np.cumsum(size) - size
+            count = seen[tokens & (width - 1)]
+            bits = bitmaps(tokens, row, len(ids))
+            large = size - (size * num + den - 1) // den + 1
+            small = size - (size * num2 + den2 - 1) // den2 + 1
+            for order in range(orders):
+                major, minor = order_key(count, tokens, order)
+                sort = np.lexsort((minor, major, row))
+                pos = np.arange(len(tokens)) - first[row] + 1
+                keep = (pos <= large[row]) & (count[sort] > 1)  # a token of one set meets nothing
+                at, p, r = sort[keep], pos[keep], row[keep]
+                cuts = (count[at] + piece - 1) // piece
+                role = np.where(p <= small[r], SMALL | LARGE, LARGE)
+                own = (_mix(ids[r], 99) % cuts.astype(np.uint64)).astype(np.int64)
+                parts = [(np.flatnonzero(cuts == 1), np.zeros((cuts == 1).sum(), np.int64), role[cuts == 1])]
+                for as_small in (True, False):  # every piece of a hot list meets every other
+                    hot = np.flatnonzero((cuts > 1) & ((role & SMALL > 0) | (not as_small)))
+                    if len(hot):
+                        c = cuts[hot]
+                        each = np.repeat(hot, c)
+                        other = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                        part = own[each] * cuts[each] + other if as_small else other * cuts[each] + own[each]
+                        parts.append((each, part, np.full(len(each), SMALL if as_small else LARGE)))
+                j, part, role = (np.concatenate(x) for x in zip(*parts))
+                r = r[j]
+                key = _mix(_mix(tokens[at[j]], 17 + order).view(np.int64) + part * 1_000_003 + spaces[r] * 7_368_787, 5).view(np.int64)
+                rest = role | sides[r] * LEFT | order << ORDER | p[j] << POSITION
+                columns = [pa.array(key), pa.array(size[r].astype(np.int32)), pa.array(ids[r]), pa.array(rest), *[pa.array(np.ascontiguousarray(bits[r, i])) for i in range(len(BITS))]]
+                yield pa.RecordBatch.from_arrays(columns, schema=_POSTING)
+
+    return sets.select("id", "tokens", "sides", "space").mapInArrow(post, _POSTING_DDL)
+
+
+_MET = pa.schema([("s", pa.int64()), ("l", pa.int64()), ("orders", pa.int32())])
+
+
+def _compare(part: dict[str, np.ndarray], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole groups of postings, which are sorted by key and size."""
+    group = np.concatenate(([0], np.cumsum(np.diff(part["key"]) != 0)))
+    n = part["n"].astype(np.int64)
+    place = group * (int(n.max()) + 1) + n  # sorted
+    rest = part["rest"]
+    pos = rest >> POSITION
+    s = np.flatnonzero(rest & SMALL)
+    top = np.minimum(n[s] * den // num, int(n.max()))
+    lo, hi = np.searchsorted(place, place[s]), np.searchsorted(place, place[s] - n[s] + top, "right")
+    width = hi - lo
+    s, lo, width = s[width > 1], lo[width > 1], width[width > 1]
+    total = np.cumsum(width)
+    at = 0
+    while at < len(s):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
+        w = width[at:to]
+        i = np.repeat(s[at:to], w)
+        j = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(lo[at:to], w)
+        fi, fj, both = rest[i], rest[j], n[i] + n[j]
+        fits = (fj & LARGE > 0) & ((1 + np.minimum(n[i] - pos[i], n[j] - pos[j])) * (num + den) >= both * num)
+        fits &= ((fi & LEFT > 0) & (fj & RIGHT > 0)) | ((fi & RIGHT > 0) & (fj & LEFT > 0))
+        fits &= (n[i] < n[j]) | (part["id"][i] < part["id"][j])
+        i, j, both = i[fits], j[fits], both[fits]
+        differ = sum(np.bitwise_count((part[b][i] ^ part[b][j]).view(np.uint64)).astype(np.int64) for b in BITS)
+        fits = differ * (num + den) <= both * (den - num)
+        if fits.any():
+            order = (rest[i[fits]] >> ORDER) & 15
+            pairs = np.unique(np.stack([part["id"][i[fits]], part["id"][j[fits]], order]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array((1 << pairs[2]).astype(np.int32))], schema=_MET)
+        at = to
+
+
+def meetings(sets: DataFrame, t: Fraction, orders: int) -> DataFrame:
+    """(s, l, orders): pairs of sets that meet under any order, with a bit for each order under which they do.
+
+    ``s`` is the smaller set, the one of lower id if they are of one size.  Empty
+    sets meet nothing.
     """
+    lists = postings(sets, sketch(sets), t, orders)
     num, den = t.numerator, t.denominator
-    bits = [f"b{w}" for w in range(WORDS64)]
-    rows = _spread(_postings(small, t, True, *by).unionByName(_postings(large, t, False, *by)))
-    grouped = rows.repartition("key", "part").sortWithinPartitions("key", "part")
-    schema = pa.schema([("s", pa.int64()), ("l", pa.int64())])
-
-    def compare(part: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        change = (np.diff(part["key"]) != 0) | (np.diff(part["part"]) != 0)
-        starts = np.concatenate(([0], np.flatnonzero(change) + 1))
-        ends = np.append(starts[1:], len(part["key"]))
-        group = np.cumsum(np.concatenate(([0], change)))
-        shorts = np.flatnonzero(part["short"])
-        width = (ends - starts)[group[shorts]]
-        keep = width > 1
-        shorts, width = shorts[keep], width[keep]
-        total = np.cumsum(width)
-        at = 0
-        while at < len(shorts):
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
-            n = width[at:to]
-            i = np.repeat(shorts[at:to], n)
-            first = np.cumsum(n) - n
-            j = np.arange(n.sum()) - np.repeat(first, n) + starts[group[i]]
-            ns, nl = part["n"][i], part["n"][j]
-            both = ns + nl
-            left = 1 + np.minimum(ns - part["pos"][i], nl - part["pos"][j])
-            fits = ~part["short"][j] & (ns <= nl) & (left * (num + den) >= both * num)
-            if not ties:
-                fits &= (ns < nl) | (part["id"][i] < part["id"][j])
-            i, j, both = i[fits], j[fits], both[fits]
-            differ = sum(np.bitwise_count(part[b][i] ^ part[b][j]).astype(np.int64) for b in bits)
-            close = differ * (num + den) <= both * (den - num)
-            pairs = np.unique(np.stack([part["id"][i[close]], part["id"][j[close]]]), axis=1) if close.any() else np.empty((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
-            at = to
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: dict[str, np.ndarray] | None = None
+        kept: list[dict[str, np.ndarray]] = []  # the last group may go on in the next batch; its parts are put together once
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-            new = {c: v.astype(np.int64) if c in ("n", "pos", "part") else v.view(np.uint64) if c in bits else v for c, v in new.items()}
-            if rest is not None:
-                new = {c: np.concatenate([rest[c], v]) for c, v in new.items()}
-            # the last group may go on in the next batch
-            last = np.flatnonzero((np.diff(new["key"]) != 0) | (np.diff(new["part"]) != 0))
-            stop = int(last[-1]) + 1 if len(last) else 0
-            rest = {c: v[stop:] for c, v in new.items()}
-            if stop:
-                yield from compare({c: v[:stop] for c, v in new.items()})
-        if rest is not None:
-            yield from compare(rest)
-
-    return grouped.mapInArrow(meet, "s long, l long").distinct()
-
-
-def verified(pairs: DataFrame, small: DataFrame, large: DataFrame, t: Fraction, orders: int, *by: str) -> DataFrame:
-    """The pairs (s, l) within ``by`` that share a prefix token under every order and whose whole sets are similar enough, with common, n_s and n_l."""
-    need = ["tokens", *[f"o{i}" for i in range(1, orders)]]
-    a = small.select(F.col("id").alias("s"), *by, *[F.col(c).alias(f"s_{c}") for c in need])
-    b = large.select(F.col("id").alias("l"), *by, *[F.col(c).alias(f"l_{c}") for c in need])
-    both = pairs.join(a, "s").join(b, ["l", *by])
-    for i in range(1, orders):
-        both = both.where(F.arrays_overlap(f"s_o{i}", f"l_o{i}"))
-    sized = both.select("s", "l", *by, F.size("s_tokens").alias("n_s"), F.size("l_tokens").alias("n_l"), F.size(F.array_intersect("s_tokens", "l_tokens")).alias("common"))
+            ends = np.flatnonzero(np.diff(new["key"]))
+            starts = int(ends[-1]) + 1 if len(ends) else 0
+            if kept and new["key"][0] != kept[-1]["key"][-1]:
+                yield from _compare({c: np.concatenate([k[c] for k in kept]) for c in new}, num, den)
+                kept = []
+            if starts:
+                whole = [*kept, {c: v[:starts] for c, v in new.items()}]
+                yield from _compare({c: np.concatenate([k[c] for k in whole]) for c in new}, num, den)
+                kept = []
+            kept.append({c: v[starts:] for c, v in new.items()})
+        if kept:
+            yield from _compare({c: np.concatenate([k[c] for k in kept]) for c in kept[0]}, num, den)
+
+    met = lists.repartition("key").sortWithinPartitions("key", "n").mapInArrow(meet, "s long, l long, orders int")
+    return met.groupBy("s", "l").agg(F.bit_or("orders").alias("orders"))
+
+
+def pruning(met: DataFrame, orders: int) -> DataFrame:
+    """(n_orders, n_candidates): how many pairs are left after each order."""
+    counts = met.agg(*[F.count_if(F.col("orders").bitwiseAND(F.lit((1 << k) - 1)) == (1 << k) - 1).alias(str(k)) for k in range(1, orders + 1)])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("n_orders"), F.col(str(k)).alias("n_candidates")) for k in range(1, orders + 1)])).alias("r")).select("r.*")
+
+
+def similar_pairs(sets: DataFrame, t: Fraction, orders: int) -> DataFrame:
+    """(s, l, n_s, n_l, common): pairs of different sets, of two sides of the join, with similarity of at least ``t``.
+
+    ``sets`` has id (one for each different set of a space), tokens (distinct
+    bigints), sides (1: left, 2: right, 3: both) and space; cut its lineage first.
+    Candidates are written to the shared folder.
+    """
+    every = (1 << orders) - 1
+    pairs = cut(meetings(sets, t, orders).where(F.col("orders") == every).select("s", "l"))
+    a, b = (sets.select(F.col("id").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in ("s", "l"))
+    both = salted_join(pairs, a, "s", F.col("l"), "inner")
+    both = salted_join(both, b, "l", F.col("s"), "inner", hot=hot_keys(pairs, "l"))
+    sized = both.select("s", "l", F.size("s_tokens").alias("n_s"), F.size("l_tokens").alias("n_l"), F.size(F.array_intersect("s_tokens", "l_tokens")).alias("common"))
     return sized.where(F.col("common") * t.denominator >= (F.col("n_s") + F.col("n_l") - F.col("common")) * t.numerator)
-
-
-def self_join(sets: DataFrame, t: Fraction, orders: int) -> DataFrame:
-    """(s, l, n_s, n_l, common) for all pairs of different sets (id, tokens) with similarity of at least ``t``; ``sets`` must be records."""
-    return verified(candidates(sets, sets, t, False), sets, sets, t, orders)
-
-
-def bipartite_join(one: DataFrame, other: DataFrame, t: Fraction, *by: str) -> DataFrame:
-    """(a, b, *by): pairs of a set of ``one`` and another of ``other`` with similarity of at least ``t``; both must be records."""
-    forward = candidates(one, other, t, True, *by).select(F.col("s").alias("a"), F.col("l").alias("b"))
-    back = candidates(other, one, t, True, *by).select(F.col("l").alias("a"), F.col("s").alias("b"))
-    pairs = forward.unionByName(back).where("a <> b").distinct().select(F.col("a").alias("s"), F.col("b").alias("l"))
-    return verified(pairs, one, other, t, 1, *by).select(F.col("s").alias("a"), F.col("l").alias("b"), *by)

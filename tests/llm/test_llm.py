@@ -78,6 +78,7 @@ def test_hot_token_is_cut_but_loses_nothing(spark, monkeypatch):
     from ledgerloom.llm import setjoin
 
     monkeypatch.setattr(setjoin, "AT_ONCE", 50)
+    monkeypatch.setattr(setjoin, "PIECE", 37)
     rng = random.Random(5)
     stock = "a common stock sentence that very many texts hold somewhere inside"
     texts = [f"{stock} {' '.join(rng.choice(WORDS[:8]) for _ in range(6))}" for _ in range(1200)]
