@@ -9,12 +9,19 @@ query.  Its threshold is the least score that an item sharing a run of
 retrieval above it loses nothing; block-max WAND skips the rest.  What is
 retrieved is verified word by word against question and answer.
 
-The index is built and broadcast in blocks of items whose number of words is
-bounded (``block_words``), so its size doesn't follow the number of items; the
-corpus, of which only passages go on, is read once for each block.
+The corpus is read once.  A bit for each indexed shingle in a filter of fixed size,
+which is broadcast, tells the passages; nothing else of the corpus goes on.  The
+index is partitioned: in every window of ``run`` words the shingle that is rarest
+among the items (by a sketch of fixed size, then by hash) is its *anchor*, an item
+is indexed in the buckets of its anchors, and a passage is sent to the buckets of
+its own.  A shared run has the same anchor on both sides, so some bucket has both.
+The number of buckets follows the words of the items, so an index has a bounded
+size; anchors of very many items are cut into pieces, and buckets with very many
+passages get several copies of their index.
 
 Nulls and texts shorter than ``run`` words match nothing.  Repeated rows count
-once.
+once; of rows with one key and different texts all are searched.  Words compare by
+a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -24,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,33 +41,53 @@ _WORDS = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.0  # without length normalisation every whole shingle contributes at least its idf
 BLOCK = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the filter and counters of the sketch, powers of two: 16 MB and 1 MB are broadcast, whatever the input.
+BITS, COUNTERS = 1 << 27, 1 << 20
+#: Items of one anchor that one bucket gets at most.
+PIECE = 2000
 
 
 def words(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
+class _Hashes(dict):
+    """word -> 64-bit hash; starts anew when it has grown large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+_hashes = _Hashes()
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    w = words(text)
+    return np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
+
+
 def shingle_hashes(ids: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``k`` word numbers."""
+    """A 64-bit hash of each run of ``k`` word hashes."""
     n = len(ids) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     h = np.zeros(n, np.uint64)
     for j in range(k):
-        x = (h ^ (ids[j : j + n].astype(np.uint64) + np.uint64(1))) * _MIX
+        x = (h ^ (ids[j : j + n] + np.uint64(1))) * _MIX
         h = x ^ (x >> np.uint64(29))
     return h
 
 
 class Index:
-    """Inverted index of items, each with two texts.  ``keys[i]`` is the item's key."""
+    """Inverted index of items, each with two texts as word hashes.  ``keys[i]`` is the item's key."""
 
-    def __init__(self, items: list[tuple[tuple, list[list[str]]]], k: int, run: int):
+    def __init__(self, items: list[tuple[tuple, list[np.ndarray]]], k: int, run: int):
         self.k, self.run = k, run
         self.keys = [key for key, _ in items]
-        self.vocabulary: dict[str, int] = {}
-        number = self.vocabulary.setdefault
-        self.fields = [[np.array([number(w, len(self.vocabulary)) for w in field], np.int64) for field in fields] for _, fields in items]
+        self.fields = [fields for _, fields in items]
         terms, owners = [], []
         for i, fields in enumerate(self.fields):
             for ids in fields:
@@ -141,16 +169,8 @@ class Index:
         own = {passage[i : i + self.run].tobytes() for i in range(len(passage) - self.run + 1)}
         return any(ids[i : i + self.run].tobytes() in own for ids in self.fields[item] for i in range(len(ids) - self.run + 1))
 
-    def leaks(self, texts: list[str | None]) -> list[list[int]]:
-        """For each text the items that share a run of words with it."""
-        out: list[list[int]] = []
-        get = self.vocabulary.get
-        for text in texts:
-            ids = np.array([get(w, -1) for w in words(text)], np.int64)
-            out.append(self._leaks(ids) if len(ids) >= self.run else [])
-        return out
-
-    def _leaks(self, ids: np.ndarray) -> list[int]:
+    def leaks(self, ids: np.ndarray) -> list[int]:
+        """The items that share a run of words with a text of these word hashes."""
         terms = self.lookup(shingle_hashes(ids, self.k))
         spans = self.run - self.k + 1
         known = np.concatenate(([0], (terms >= 0).astype(np.int8), [0]))
@@ -212,33 +232,146 @@ class _Cursor:
         return int(self.docs[min((block + 1) * BLOCK, len(self.docs)) - 1]) + 1 if block >= 0 else self.END
 
 
+def _anchors(shingles: np.ndarray, counts: np.ndarray, spans: int) -> np.ndarray:
+    """The distinct anchors of a text's windows of ``spans`` shingles."""
+    if len(shingles) < spans:
+        return np.empty(0, np.uint64)
+    # one number orders by rarity first: the sketch's magnitude, then a hash
+    rank = (counts[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | ((shingles * _MIX) >> np.uint64(8))
+    windows = np.lib.stride_tricks.sliding_window_view(rank, spans)
+    return np.unique(shingles[np.arange(len(windows)) + windows.argmin(axis=1)])
+
+
+def _pieces(anchors: np.ndarray, counts: np.ndarray, piece: int) -> np.ndarray:
+    """In how many pieces the items of each anchor are cut; the sketch has magnitudes, rounded up."""
+    most = np.left_shift(np.int64(1), counts[(anchors & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.int64))
+    return (most + piece - 1) // piece
+
+
+def _bucket(anchors: np.ndarray, piece: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = (anchors ^ (piece.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * _MIX
+    return ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+
+
+_ITEM_SHINGLES = pa.schema([("word", pa.int32()), ("bits", pa.int64()), ("counter", pa.int32()), ("c", pa.int64())])
+_ROUTED = pa.schema([("bucket", pa.int32()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("split", pa.string()), ("idx", pa.int32()), ("words", pa.list_(pa.binary()))])
+_ROUTED_DDL = "bucket int, salt int, doc_id long, split string, idx int, words array<binary>"
 _OUT = pa.schema([("doc_id", pa.int64()), ("split", pa.string()), ("idx", pa.int32())])
 
 
+def item_filter(held: DataFrame, fields: tuple[str, str], k: int, run: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(bits of the filter as bytes, magnitudes of the sketch, number of words) of the items' shingles; all of fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [h for f in fields for t in batch.column(f).to_pylist() if len(h := shingle_hashes(word_hashes(t), k)) > run - k]
+            h = np.concatenate(own) if own else np.empty(0, np.uint64)
+            bit = np.unique(((h >> np.uint64(24)) & np.uint64(BITS - 1)).astype(np.int64))
+            word, at = np.unique(bit >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (bit & 63).astype(np.uint64)), at) if len(bit) else np.empty(0, np.uint64)
+            counter, c = np.unique((h & np.uint64(COUNTERS - 1)).astype(np.int32), return_counts=True)
+            none = lambda n, kind: pa.nulls(n, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64)), none(len(word), pa.int32()), none(len(word), pa.int64())], schema=_ITEM_SHINGLES)
+            yield pa.RecordBatch.from_arrays([none(len(counter), pa.int32()), none(len(counter), pa.int64()), pa.array(counter), pa.array(c.astype(np.int64))], schema=_ITEM_SHINGLES)
+
+    flat = held.select(*fields).mapInArrow(count, "word int, bits long, counter int, c long")
+    got = flat.groupBy("word", "counter").agg(F.bit_or("bits").alias("bits"), F.sum("c").alias("c")).toArrow()  # at most BITS / 64 + COUNTERS rows
+    column = lambda c, rows: got.column(c).filter(rows).to_numpy()
+    is_bit = got.column("word").is_valid()
+    bits, counts = np.zeros(BITS // 64, np.int64), np.zeros(COUNTERS, np.int64)
+    bits[column("word", is_bit)] = column("bits", is_bit)
+    is_count = got.column("counter").is_valid()
+    counts[column("counter", is_count)] = column("c", is_count)
+    magnitude = np.ceil(np.log2(np.maximum(counts, 1))).astype(np.uint8)
+    return bits.view(np.uint8), magnitude, int(counts.sum())
+
+
+def passages(ids: np.ndarray, row: np.ndarray, bits: np.ndarray, k: int, run: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, word hashes) of the passages of many texts, whose words stand one after the other in ``ids``."""
+    h = shingle_hashes(ids, k)
+    if not len(h):
+        return
+    bit = (h >> np.uint64(24)) & np.uint64(BITS - 1)
+    known = (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
+    known &= row[: len(h)] == row[k - 1 :]  # within one text
+    change = np.diff(np.concatenate(([0], known, [0])))
+    # a shingle across a border of texts is unknown, so no stretch spans two
+    for lo, hi in zip(np.flatnonzero(change == 1), np.flatnonzero(change == -1)):
+        if hi - lo >= run - k + 1:
+            yield int(row[lo]), ids[lo : hi + k - 1]
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, fields: tuple[str, str] = ("question", "answer_text"), k: int = 5, run: int = 13, block_words: int = 3_000_000) -> DataFrame:
     """(doc_id, split, idx): documents holding ``run`` consecutive words that are consecutive in one text of an evaluation item."""
-    held = items.where("split IS NOT NULL AND idx IS NOT NULL AND split <> 'train'").select("split", "idx", *fields).distinct()
-    size = sum((F.coalesce(F.length(f), F.lit(0)) for f in fields), F.lit(0)) / F.lit(4.0)  # words are mostly longer than three letters
-    blocks = max(1, int((held.agg(F.sum(size)).first()[0] or 0) / block_words) + 1)
-    held = held.withColumn("block", F.pmod(F.xxhash64("split", "idx"), F.lit(blocks)))
-    held = cut(held) if blocks > 1 else held
+    held = items.where("split IS NOT NULL AND idx IS NOT NULL AND split <> 'train'").select("split", F.col("idx").cast("int").alias("idx"), *fields)
+    marks = [F.sha2(F.coalesce(f, F.lit("")), 256).alias(f"_{f}") for f in fields]
+    once = held.groupBy("split", "idx", *marks).agg(*[F.first(f).alias(f) for f in fields]).select("split", "idx", *fields)
+    held = cut(once)
+    bits, counts, n_words = item_filter(held, fields, k, run)
+    buckets = max(1, -(-n_words // block_words))
+    sc = documents.sparkSession.sparkContext
+    filter_, sketch = sc.broadcast(bits), sc.broadcast(counts)
+    spans, most = run - k + 1, PIECE
+
+    def routed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * len(_ROUTED)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROUTED)], schema=_ROUTED)
+
+    def route_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, out = batch.column("doc_id").to_pylist(), []
+            ids = [word_hashes(t) for t in batch.column("text").to_pylist()]
+            row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+            for at, passage in passages(np.concatenate(ids), row, filter_.value, k, run):
+                anchors = _anchors(shingle_hashes(passage, k), sketch.value, spans)
+                n = _pieces(anchors, sketch.value, most)
+                each = np.repeat(anchors, n)
+                piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                body = [passage.tobytes()]
+                out += [(int(b), 0, docs[at], None, None, body) for b in np.unique(_bucket(each, piece, buckets))]
+            yield routed(out)
+
+    def route_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for split, idx, *texts in zip(*[batch.column(c).to_pylist() for c in ("split", "idx", *fields)]):
+                ids = [word_hashes(t) for t in texts]
+                anchors = np.concatenate([_anchors(shingle_hashes(i, k), sketch.value, spans) for i in ids])
+                own = np.uint64(xxhash.xxh64_intdigest(f"{split}/{idx}"))
+                piece = (own % _pieces(anchors, sketch.value, most).astype(np.uint64)).astype(np.int64)
+                body = [i.tobytes() for i in ids]
+                out += [(int(b), 0, None, split, idx, body) for b in np.unique(_bucket(anchors, piece, buckets))]
+            yield routed(out)
+
     corpus = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark, out = documents.sparkSession, None
-    for block in range(blocks):
-        rows = held.where(F.col("block") == block).drop("block").toArrow().to_pylist()  # at most about block_words words
-        index = spark.sparkContext.broadcast(Index([((r["split"], r["idx"]), [words(r[f]) for f in fields]) for r in rows], k, run))
-
-        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = index.value
-            for batch in batches:
-                hits = own.leaks(batch.column("text").to_pylist())
-                flat = [(d, *own.keys[i]) for d, found in zip(batch.column("doc_id").to_pylist(), hits) for i in found]
-                columns = zip(*flat) if flat else ([], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT)], schema=_OUT)
-
-        part = corpus.mapInArrow(search, "doc_id long, split string, idx int")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    queries = cut(corpus.mapInArrow(route_passages, _ROUTED_DDL))
+    index = held.mapInArrow(route_items, _ROUTED_DDL)
+    # copies of a bucket's index for every so many of its passages; one row for each bucket
+    each = max(1000, block_words // 400 if buckets > 1 else n_words // 400)
+    copies = queries.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(each)).cast("int").alias("copies"))
+    queries = queries.join(copies, "bucket").withColumn("salt", F.pmod(F.xxhash64("doc_id", "words"), F.col("copies")).cast("int"))
+    index = index.join(copies, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    names = [f.name for f in _ROUTED]
+    rows = index.select(*names).unionByName(queries.select(*names))
+    grouped = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("doc_id").isNotNull())  # items first
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, waiting, own = None, [], None
+        for batch in batches:
+            out = []
+            for bucket, salt, doc, split, idx, body in zip(*[c.to_pylist() for c in batch.columns]):
+                if (bucket, salt) != at:
+                    at, waiting, own = (bucket, salt), [], None
+                if doc is None:
+                    waiting.append(((split, idx), [np.frombuffer(w, np.uint64) for w in body]))
+                    continue
+                if own is None:
+                    own, waiting = Index(waiting, k, run), []
+                out += [(doc, *own.keys[i]) for i in own.leaks(np.frombuffer(body[0], np.uint64))]
+            columns = zip(*out) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT)], schema=_OUT)
+
+    return grouped.mapInArrow(search, "doc_id long, split string, idx int").distinct()
 
 
 def leak_report(leaks: DataFrame, documents: DataFrame, items: DataFrame) -> DataFrame:

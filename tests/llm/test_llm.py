@@ -105,8 +105,9 @@ def test_overlaps_equal_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("block_words", [10**6, 300])
-def test_leaks_equal_brute_force(spark, block_words):
+@pytest.mark.parametrize("block_words,piece", [(10**6, 2000), (300, 2000), (100, 3)])
+def test_leaks_equal_brute_force(spark, monkeypatch, block_words, piece):
+    monkeypatch.setattr(leakage, "PIECE", piece)
     rng = random.Random(11)
     say = lambda n: " ".join(rng.choice(WORDS[:25]) for _ in range(n))
     items = [(rng.choice(["test", "holdout", "train"]), i, say(rng.randint(10, 40)), say(rng.randint(5, 30))) for i in range(60)]
@@ -127,7 +128,7 @@ def test_leaks_equal_brute_force(spark, block_words):
 
 def test_wand_equals_full_scoring():
     rng = random.Random(2)
-    items = [((i,), [[rng.choice(WORDS[:12]) for _ in range(60)]]) for i in range(400)]
+    items = [((i,), [leakage.word_hashes(" ".join(rng.choice(WORDS[:12]) for _ in range(60)))]) for i in range(400)]
     index = leakage.Index(items, 2, 5)
     for _ in range(40):
         terms = np.array(sorted(rng.sample(range(len(index.terms)), 15)))
@@ -137,16 +138,16 @@ def test_wand_equals_full_scoring():
             score[index.docs[lo:hi]] += index.weights[lo:hi]
         least = float(np.quantile(score, rng.choice([0.5, 0.9, 0.99])))
         assert sorted(index.retrieve(terms, least)) == [i for i in range(len(items)) if score[i] >= least - 1e-6]
-    assert leakage.Index([], 5, 13).leaks(["a b c " * 9, None]) == [[], []]
+    assert leakage.Index([], 5, 13).leaks(leakage.word_hashes("a b c " * 9)) == leakage.Index([], 5, 13).leaks(leakage.word_hashes(None)) == []
 
 
 @pytest.mark.parametrize("n", [300, 1500])
 def test_isolated_runs_are_found_among_many_items(n):
     texts = [[f"x{i}y{j}" for j in range(20)] for i in range(n)]
-    index = leakage.Index([((i,), [w, []]) for i, w in enumerate(texts)], 5, 13)
-    docs = [f"in front {' '.join(w[i % 8 : i % 8 + 13])} and behind" for i, w in enumerate(texts)]
-    assert index.leaks(docs) == [[i] for i in range(n)]
-    assert index.leaks([" ".join(w[:12]) for w in texts]) == [[]] * n
+    of = lambda w: leakage.word_hashes(" ".join(w))
+    index = leakage.Index([((i,), [of(w), of([])]) for i, w in enumerate(texts)], 5, 13)
+    assert [index.leaks(of(["in", "front", *w[i % 8 : i % 8 + 13], "and", "behind"])) for i, w in enumerate(texts)] == [[i] for i in range(n)]
+    assert [index.leaks(of(w[:12])) for w in texts] == [[]] * n
     assert (index.weights >= np.repeat(index.idf, np.diff(index.offsets))).all()
 
 
