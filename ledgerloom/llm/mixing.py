@@ -8,8 +8,9 @@ offset in [0, 1) is added, and a document is taken once for every integer that
 its stretch of the sum crosses.  So copies of a document differ from the expected
 number by less than one and never exceed ``max_repeats``.
 
-The prefix sums run in two levels, over buckets of a source and inside each
-bucket, so that no task holds a whole source.  Sizes are in tokens of a public
+The documents of a source stand by size, so that the tokens drawn come close to
+their target.  The prefix sums run in two levels, over sizes and buckets of a source
+and inside each bucket, so that no task holds a whole source.  Sizes are in tokens of a public
 tokenizer.
 
 Documents without a source belong to no target but count for the budget; a null
@@ -90,17 +91,21 @@ def _offset(seed: int, *by: Column) -> Column:
 
 
 def positions(counts: DataFrame) -> DataFrame:
-    """(source, doc_id, n_tokens, place): documents of each source numbered from 0 in a random, fixed order."""
-    rows = counts.where("source IS NOT NULL")
-    n = rows.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET)).cast("int").alias("n_buckets"))
-    rows = join_small(rows, cut(n), "source", F.col("doc_id"), "inner").withColumn("h", F.xxhash64("doc_id"))
-    rows = rows.withColumn("bucket", F.pmod(F.col("h"), F.col("n_buckets")))
-    sizes = rows.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("source", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id")
+    """(source, doc_id, n_tokens, place): documents of each source numbered from 0 by size, those of one size in a random, fixed order.
+
+    By size, so that the tokens drawn follow their target and not only the copies.
+    Documents of one source and size are cut into buckets of bounded size.
+    """
+    rows = counts.where("source IS NOT NULL").withColumn("h", F.xxhash64("doc_id"))
+    n = rows.groupBy("source", "n_tokens").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET)).cast("int").alias("n_buckets")).where("n_buckets > 1")
+    rows = join_small(rows.withColumn("of", F.struct("source", "n_tokens")), cut(n.select(F.struct("source", "n_tokens").alias("of"), "n_buckets")), "of", F.col("doc_id")).drop("of")
+    rows = rows.withColumn("bucket", F.pmod(F.col("h"), F.coalesce("n_buckets", F.lit(1))))
+    sizes = rows.groupBy("source", "n_tokens", "bucket").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy("source").orderBy("n_tokens", "bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row for each size
+    starts = sizes.select("source", "n_tokens", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("source", "n_tokens", "bucket").orderBy("h", "doc_id")
     ranked = rows.withColumn("rank", F.row_number().over(inside) - 1)
-    return ranked.join(starts, ["source", "bucket"]).select("source", "doc_id", "n_tokens", (F.col("start") + F.col("rank")).alias("place"))
+    return ranked.join(starts, ["source", "n_tokens", "bucket"]).select("source", "doc_id", "n_tokens", (F.col("start") + F.col("rank")).alias("place"))
 
 
 def sample(counts: DataFrame, wanted: DataFrame, seed: int = 17) -> DataFrame:
@@ -114,9 +119,13 @@ def sample(counts: DataFrame, wanted: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def shares(wanted: DataFrame, sampled: DataFrame) -> DataFrame:
-    """One row per target: wanted and actual tokens and shares, copies, and whether the source could give its target."""
+    """One row per target: wanted and actual tokens and shares, copies, and whether the source could give its target.
+
+    ``actual_share`` is of what was drawn, ``budget_share`` of what the plan wanted.
+    """
     got = sampled.groupBy("mix_id", "source").agg(F.sum(F.col("n_copies") * F.col("n_tokens")).alias("actual_tokens"), F.sum("n_copies").cast("long").alias("n_copies"), F.count(F.lit(1)).alias("n_used"))
     rows = wanted.join(got, ["mix_id", "source"], "left").fillna(0, ["actual_tokens", "n_copies", "n_used"])
     rows = rows.withColumn("actual_share", F.try_divide(F.col("actual_tokens").cast("double"), F.sum("actual_tokens").over(Window.partitionBy("mix_id"))))
+    rows = rows.withColumn("budget_share", F.try_divide(F.col("actual_tokens").cast("double"), F.sum("target_tokens").over(Window.partitionBy("mix_id"))))
     reachable = F.col("target_tokens") <= F.col("source_tokens") * F.col("max_repeats")
-    return rows.select("mix_id", "source", "target_share", "actual_share", "target_tokens", "actual_tokens", "source_tokens", "n_documents", "n_used", "n_copies", "rate", reachable.alias("reachable"))
+    return rows.select("mix_id", "source", "target_share", "actual_share", "budget_share", "target_tokens", "actual_tokens", "source_tokens", "n_documents", "n_used", "n_copies", "rate", reachable.alias("reachable"))

@@ -298,6 +298,12 @@ def test_mixing(spark):
         by[r.mix_id, r.source] = by.get((r.mix_id, r.source), 0) + r.n_copies
     for key, r in rates.items():
         assert abs(by.get(key, 0) - r.rate * r.n_documents) <= 1
+    tokens: dict = {}
+    for r in sampled.collect():
+        tokens[r.mix_id, r.source] = tokens.get((r.mix_id, r.source), 0) + r.n_copies * r.n_tokens
+    for key, r in rates.items():  # by size, the tokens follow the target within two documents
+        if r.rate * r.source_tokens >= r.target_tokens:
+            assert abs(tokens[key] - r.target_tokens) <= 200, (key, tokens[key], r.target_tokens)
     report = {(r.mix_id, r.source): r for r in mixing.shares(wanted, sampled).collect()}
     assert report["n", "lost"].actual_tokens == 0 and not report["n", "lost"].reachable and report["m", "a"].reachable
     assert abs(sum(r.actual_share for k, r in report.items() if k[0] == "m") - 1) < 1e-9
@@ -326,6 +332,32 @@ def test_mojibake_round_trip(text):
     assert mojibake.restored(twice, mojibake.spans(twice)) == text
 
 
+SCRIPTS = ["Great job 😀 team 🎉!", "Він їхав до міста, але ще не приїхав.", "Καλημέρα κόσμε, πόσα μήλα έχουμε;", "مرحبا بالعالم كم تفاحة", "中文字符编码问题。", "日本語のテキストです", "שלום עולם", "Tiếng Việt có dấu", "Größe – „so“"]
+
+
+@pytest.mark.parametrize("text", SCRIPTS)
+def test_utf8_of_any_script_round_trips(text):
+    """Read once as any single-byte encoding it comes back; read twice it comes back or at least is found."""
+    assert mojibake.spans(text) == []
+    for wrong in mojibake.RUN_AS:
+        bad = mojibake.decode(text.encode(), wrong)
+        got = mojibake.restored(bad, mojibake.spans(bad))
+        assert got == text or got == bad and "😀" in text and wrong in ("cp866", "mac_cyrillic"), (wrong, got)
+    for first, then in itertools.product(mojibake.UTF8_AS, repeat=2):
+        bad = mojibake.decode(mojibake.decode(text.encode(), first).encode(), then)
+        assert mojibake.spans(bad), (first, then)
+
+
+def test_lossy_decodings_restore_nothing_ambiguous():
+    table = mojibake._TABLE
+    for a, b in (("├", "┌"), ("Á", "Í")):  # the bytes in which they differ are undefined
+        seqs = {mojibake.decode(x.encode(), "cp1252", "�") for x in (a, b)}
+        for seq in seqs & set(table):
+            assert table[seq][0] in ("", a, b)
+    seq = mojibake.decode("Á".encode(), "cp1252", "�")
+    assert seq == mojibake.decode("Í".encode(), "cp1252", "�") and table[seq][0] == ""
+
+
 def test_mojibake_single_byte_and_legitimate():
     text = "Политика хранит устаревшую базу сравнения, проверяют решение."
     for src, wrong in (("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1251")):
