@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.lenient import canonical_quotient
+from ledgerloom.functions.lenient import canonical_quotient, last_box_exact
 
 STRICT = r"^-?\d+(\.\d+)?$"
 _PLAIN = r"(?:[^{}\\]|\\.)"
@@ -29,23 +29,43 @@ def _last(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.element_at(values, -1))
 
 
+#: Four braces open at once: more than the pattern of boxes reads.  Also a box in a box, of which it reads the outer one.
+_DEEP = r"(?s)\{[^{}]*\{[^{}]*\{[^{}]*\{|\\boxed\s*\{[^{}]*\\boxed"
+
+
 def boxes(text: Column, command: str = "boxed") -> Column:
     """Contents of all balanced ``\\command{...}``, with braces nested up to three deep."""
     return _all(text, rf"(?s)\\{command}\s*\{{({_NEST})\}}")
 
 
+def last_box(text: Column) -> Column:
+    """Content of the last balanced box, null without one.  Only deeply nested texts leave the JVM."""
+    deep = text.rlike(_DEEP)
+    return F.when(deep, last_box_exact(F.when(deep, text))).otherwise(_last(boxes(text)))
+
+
 def last_hash_line(text: Column) -> Column:
     """What follows the last '####' on its line, trimmed; null without one."""
     rest = F.substring_index(F.substring_index(text, "####", -1), "\n", 1)
     return F.when(text.contains("####"), F.regexp_replace(rest, r"(?U)^\s+|\s+$", ""))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def marker(text: Column) -> Column:
     """struct(kind, content) of the later of the last balanced box and the last '####' line; null without either."""
-    box, hashed = _last(boxes(text)), last_hash_line(text)
-    later = F.when(hashed.isNull(), box.isNotNull()).otherwise(F.size(boxes(F.substring_index(text, "####", -1))) > 0)
-    trimmed = F.regexp_replace(box, r"(?U)^\s+|\s+$", "")
-    return F.when(later, F.struct(F.lit("boxed").alias("kind"), trimmed.alias("content"))).when(hashed.isNotNull(), F.struct(F.lit("hash").alias("kind"), payload(hashed).alias("content")))
+    after = F.when(text.contains("####"), F.substring_index(text, "####", -1))
+    parts = F.struct(last_box(text).alias("box"), last_box(after).alias("after"), last_hash_line(text).alias("hashed"))
+
+    def chosen(p: Column) -> Column:
+        later = F.when(p["hashed"].isNull(), p["box"].isNotNull()).otherwise(p["after"].isNotNull())
+        boxed = F.struct(F.lit("boxed").alias("kind"), F.regexp_replace(p["box"], r"(?U)^\s+|\s+$", "").alias("content"))
+        return F.when(later, boxed).when(p["hashed"].isNotNull(), F.struct(F.lit("hash").alias("kind"), payload(p["hashed"]).alias("content")))
+
+    return _let(parts, chosen)
 
 
 def payload(line: Column) -> Column:
@@ -65,8 +85,7 @@ def canonical_decimal(number: Column) -> Column:
 
 def extract_strict(text: Column) -> Column:
     """Canonical value of the selected marker if it is a plain number, else null."""
-    content = ascii_digits(marker(text)["content"])
-    return F.when(content.rlike(STRICT), canonical_decimal(content))
+    return _let(ascii_digits(marker(text)["content"]), lambda c: F.when(c.rlike(STRICT), canonical_decimal(c)))
 
 
 def canonical_gold(gold: Column) -> Column:

@@ -26,10 +26,24 @@ def uniform(text: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
+#: What stands for itself nowhere in a JSON string, backslash first; other controls are written by their number.
+_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+_ESCAPES |= {chr(c): f"\\u{c:04x}" for c in range(32) if chr(c) not in _ESCAPES}
+
+
 def json_text(value: Column) -> Column:
-    """A JSON string, or null as a JSON null."""
-    escaped = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\\\\\"), '"', '\\\\\\\\"')
-    return F.when(value.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
+    """A JSON string with everything outside ASCII as it is, or null as a JSON null."""
+    escaped = value
+    for raw, written in _ESCAPES.items():
+        escaped = F.replace(escaped, F.lit(raw), F.lit(written))
+    body = F.when(value.rlike(r'[\x00-\x1f"\\]'), escaped).otherwise(value)
+    return F.when(value.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), body, F.lit('"')))
+
+
+def canonical_object(text: Column, names: tuple[str, ...]) -> Column:
+    """A compact JSON object of the numbers that a JSON text has under ``names``, sorted by name; absent ones are left out."""
+    parts = [F.concat(F.lit(f'"{name}":'), F.get_json_object(text, f"$.{name}")) for name in sorted(names)]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def content_key(fields: dict[str, Column]) -> Column:

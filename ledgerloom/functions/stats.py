@@ -31,16 +31,21 @@ def spread(values: Column) -> Column:
     return F.when(F.count(values) == 1, F.lit(0.0)).otherwise(F.stddev_samp(values))
 
 
-def accepts(rule: str, wins: Column, losses: Column, n: Column, tau: float = 0.1, tail: Column | None = None, alpha: float = 0.05) -> Column:
-    """Whether a promotion rule accepts: net_win, win_rate (wins over losses and a share of at least tau) or mcnemar (its tail at most alpha)."""
+def accepts(rule: str, wins: Column, losses: Column, n: Column, margin: float = 0.0, tau: float = 0.05, tail: Column | None = None, alpha: float = 0.10) -> Column:
+    """Whether a promotion rule accepts.
+
+    ``net_win``: wins less losses, as a share of n, above ``margin``; ``win_rate``:
+    more wins than losses and a share of wins of at least ``tau``; ``mcnemar``: more
+    wins than losses and a tail below ``alpha``.  Nothing is accepted for n = 0.
+    """
     if rule == "net_win":
-        verdict = wins > losses
+        verdict = rate(wins - losses, n) > margin
     elif rule == "win_rate":
         verdict = (wins > losses) & (rate(wins, n) >= tau)
     elif rule == "mcnemar":
         if tail is None:
             raise ValueError("the McNemar rule needs its tail column")
-        verdict = (wins > losses) & (tail <= alpha)
+        verdict = (wins > losses) & (tail < alpha)
     else:
         raise ValueError(f"unknown promotion rule {rule!r}")
     return F.when(n > 0, F.coalesce(verdict, F.lit(False))).otherwise(F.lit(False))

@@ -9,10 +9,10 @@ from ledgerloom.functions.hashing import hash32, joined
 from ledgerloom.functions.stats import accepts, mcnemar_table, mcnemar_tail, rate, spread, wilson
 from ledgerloom.plans.matrix import SCORES, duck, scores as matrix_scores
 from ledgerloom.plans.pairs import _Z, _pairs_sql, all_pairs
+from ledgerloom.plans.protocol import ALPHA, REPLICATES, TAU
 from ledgerloom.plans.store import _SCORES, C, cells, scores
 from ledgerloom.registry import query
 
-REPLICATES = 2000
 
 
 @query(
@@ -53,7 +53,7 @@ def paired(spark, d) -> DataFrame:
     return known.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(a & ~b).alias("wins"), F.count_if(b & ~a).alias("losses"), F.count_if(a & b).alias("both"), F.count_if(~a & ~b).alias("neither"))
 
 
-@query(_PAIRED + " SELECT *, wins > losses AS net_win, wins > losses AND wins / n >= 0.1 AS win_rate FROM k")
+@query(_PAIRED + f" SELECT *, (wins - losses) / n > 0 AS net_win, wins > losses AND wins / n >= {TAU} AS win_rate FROM k")
 def paired_decisions(spark, d):
     rows = paired(spark, d)
     return rows.withColumn("net_win", accepts("net_win", F.col("wins"), F.col("losses"), F.col("n"))).withColumn("win_rate", accepts("win_rate", F.col("wins"), F.col("losses"), F.col("n")))
@@ -62,7 +62,9 @@ def paired_decisions(spark, d):
 @query(
     _PAIRED
     + """, t AS (SELECT run_id, CASE WHEN wins + losses = 0 THEN 1.0 ELSE (SELECT sum(exp(lgamma(m + 1.0) - lgamma(j + 1.0) - lgamma(m - j + 1.0) - m * ln(2.0))) FROM (SELECT wins + losses AS m, unnest(range(wins, wins + losses + 1)) AS j)) END AS tail FROM k)
-    SELECT run_id, wins, losses, round(tail, 9) AS tail, wins > losses AND tail <= 0.05 AS accepted FROM k JOIN t USING (run_id)"""
+    SELECT run_id, wins, losses, round(tail, 9) AS tail, wins > losses AND tail < """
+    + str(ALPHA)
+    + " AS accepted FROM k JOIN t USING (run_id)"
 )
 def mcnemar_decisions(spark, d):
     """The exact one-sided McNemar test of each run."""

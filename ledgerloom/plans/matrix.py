@@ -15,14 +15,15 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.protocol import SCHEDULE, STORAGE_ENV as STORAGE
 from ledgerloom.sources.tables import table
 
+__all__ = ["ENVS", "PHYSICAL", "R", "SCHEDULE", "SCORES", "SEEDS", "STORAGE", "duck", "environments", "packed", "scores", "spark_sql", "trajectory"]
+
 SEEDS, R = 3, 11
 ENVS = (("E1", "greedy", "v1"), ("E2", "t02", "v1"), ("E3", "greedy", "v2"), ("E4", "t02", "v2"))
-STORAGE = "E1"
 #: Ages at which a greedy output was really generated again.
 PHYSICAL = (1, 3, 5, 10)
-SCHEDULE = ((0, "E1"), (4, "E2"), (8, "E4"))
 
 
 def _values(name: str, rows: list[tuple], columns: str) -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.stats import EPS, accepts, rate, spread, wilson
+from ledgerloom.plans.protocol import T4_AGE, T4_LABELS, T7_AGES, T7_CHANGED, T7_UNCHANGED
 from ledgerloom.plans.matrix import ENVS, SCORES, STORAGE, duck, environments, packed, scores, trajectory
 from ledgerloom.registry import query
 
@@ -115,7 +116,8 @@ def summary(pairs: DataFrame, *by: str) -> DataFrame:
     fa, dec = F.sum(F.col("fa_cur_stored").cast("int")), F.sum(F.col("dec_stored").cast("int"))
     pooled = pairs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("seed").alias("n_seeds"), *[rate(total[k], n).alias(f"win_{k}") for k in REFS],
-        rate(total["stored"] - total["rerun"], n).alias("inflation"), share("flip").alias("flip_rate"), share("by_construction").alias("by_construction_frac"), F.avg("trunc_rerun").alias("trunc_rerun"),
+        rate(total["stored"] - total["rerun"], n).alias("inflation"), rate(total["stored"] - total["rescored"], n).alias("infl_extract"), rate(total["rescored"] - total["rerun"], n).alias("infl_generation"),
+        F.bool_and("by_construction").alias("all_by_construction"), share("flip").alias("flip_rate"), share("by_construction").alias("by_construction_frac"), F.avg("trunc_rerun").alias("trunc_rerun"),
         dec.alias("n_accepted"), rate(fa, dec).alias("far"), wilson(fa, dec, False).alias("far_lo"), wilson(fa, dec, True).alias("far_hi"),
     )
     seeds = pairs.groupBy(*by, "seed").agg(F.avg("inflation").alias("m")).groupBy(*by).agg(F.avg("m").alias("inflation_seed_mean"), spread(F.col("m")).alias("inflation_seed_sd"))
@@ -178,11 +180,12 @@ _Z = 1.959963984540054
 _W = "round(greatest(0, least(1, (far + {z2} / (2 * n_accepted) {s} {z} * sqrt(far * (1 - far) / n_accepted + {z2} / (4.0 * n_accepted * n_accepted))) / (1 + {z2} / n_accepted))), 9)"
 
 
-def _summary_sql(by: str) -> str:
+def _summary_sql(by: str, full: bool = False) -> str:
     group, on = (f"GROUP BY {by}", f"USING ({by})") if by else ("", "ON true")
     lead = f"{by}, " if by else ""
     bound = lambda s: _W.format(z=_Z, z2=_Z * _Z, s=s)
     return f""", a AS (SELECT {lead}count(*) AS n_pairs, count(DISTINCT seed) AS n_seeds, {", ".join(f"round(sum(w_{k}) / sum(n), 9) AS win_{k}" for k in REFS)}, round((sum(w_stored) - sum(w_rerun)) / sum(n), 9) AS inflation,
+    round((sum(w_stored) - sum(w_rescored)) / sum(n), 9) AS infl_extract, round((sum(w_rescored) - sum(w_rerun)) / sum(n), 9) AS infl_generation, bool_and(by_construction) AS all_by_construction,
     round(avg(CASE WHEN flip THEN 1.0 ELSE 0 END), 9) AS flip_rate, round(avg(CASE WHEN by_construction THEN 1.0 ELSE 0 END), 9) AS by_construction_frac, round(avg(trunc_rerun), 9) AS trunc_rerun,
     count(*) FILTER (dec_stored) AS n_accepted, count(*) FILTER (fa_cur_stored) / nullif(count(*) FILTER (dec_stored), 0) AS far FROM pairs {group}),
     b AS (SELECT {lead}round(avg(m), 9) AS inflation_seed_mean, round(CASE WHEN count(m) = 1 THEN 0 ELSE stddev_samp(m) END, 9) AS inflation_seed_sd FROM (SELECT {lead}seed, avg(inflation) AS m FROM pairs GROUP BY {lead}seed) {group})
@@ -213,14 +216,34 @@ def inflation_grid(spark, d):
     return _round(rows.select("age", *[F.col(e).alias(e.lower()) for e, _, _ in ENVS]))
 
 
-@query(
-    duck(_pairs_sql())
-    + """, t AS (SELECT * FROM (VALUES (0), (1), (3), (5), (10)) AS v(age)), c AS (SELECT * FROM (VALUES (false), (true)) AS v(env_changed)),
-    s AS (SELECT age, env_changed, count(*) AS n_pairs, round((sum(w_stored) - sum(w_rerun)) / sum(n), 9) AS inflation, round(avg(CASE WHEN flip THEN 1.0 ELSE 0 END), 9) AS flip_rate FROM pairs GROUP BY ALL)
-    SELECT age, env_changed, coalesce(n_pairs, 0) AS n_pairs, inflation, flip_rate FROM t CROSS JOIN c LEFT JOIN s USING (age, env_changed)"""
-)
+def _cells_sql(spine: str, columns: str) -> str:
+    return f"""{_summary_sql("env, age", full=True).replace("SELECT a.* REPLACE", ", sm AS (SELECT a.* REPLACE", 1)})
+    SELECT {columns} FROM {spine} LEFT JOIN sm USING (env, age)"""
+
+
+_TABLE_COLUMNS = ("win_stored", "win_rerun", "inflation", "infl_extract", "infl_generation", "flip_rate", "by_construction_frac", "far", "far_lo", "far_hi", "inflation_seed_mean", "inflation_seed_sd")
+_SHOWN = "coalesce(n_pairs, 0) AS n_pairs, coalesce(n_seeds, 0) AS n_seeds, " + ", ".join(_TABLE_COLUMNS) + ", coalesce(all_by_construction, false) AS by_construction"
+
+
+def table_of(spine: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``spine`` (env, age, ...) with the summary of its cells; cells without pairs keep their row with 0 pairs."""
+    rows = spine.join(summary(pairs, "env", "age"), ["env", "age"], "left")
+    zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("n_pairs", "n_seeds")}
+    return rows.select(*spine.columns, *zero.values(), *_TABLE_COLUMNS, F.coalesce("all_by_construction", F.lit(False)).alias("by_construction"))
+
+
+_T7 = [(e, a, f"{name} ({e})") for a in T7_AGES for e, name in ((T7_UNCHANGED, "Unchanged"), (T7_CHANGED, "Changed"))]
+_T4 = [(e, T4_AGE, label) for e, label in T4_LABELS.items()]
+_values_of = lambda rows: "(VALUES " + ", ".join(f"('{e}', {a}, '{x}')" for e, a, x in rows) + ") AS v(env, age, label)"
+
+
+@query(duck(_pairs_sql()) + _cells_sql(_values_of(_T7), "env, age, label, " + _SHOWN))
 def table_ages_by_change(spark, d):
-    """Chosen ages with and without a change of environment; empty cells stay."""
-    ages = spark.createDataFrame([(a, c) for a in (0, 1, 3, 5, 10) for c in (False, True)], "age int, env_changed boolean")
-    rows = all_pairs(spark, d).groupBy("age", "env_changed").agg(F.count(F.lit(1)).alias("n_pairs"), rate(F.sum("w_stored") - F.sum("w_rerun"), F.sum("n")).alias("inflation"), F.avg(F.col("flip").cast("int")).alias("flip_rate"))
-    return _round(ages.join(rows, ["age", "env_changed"], "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0))))
+    """T7: chosen ages under the unchanged and the changed environment."""
+    return _round(table_of(spark.createDataFrame(_T7, "env string, age int, label string"), all_pairs(spark, d)))
+
+
+@query(duck(_pairs_sql()) + _cells_sql(_values_of(_T4), "env, age, label, " + _SHOWN))
+def table_envs_at_age(spark, d):
+    """T4: every environment at the registered age."""
+    return _round(table_of(spark.createDataFrame(_T4, "env string, age int, label string"), all_pairs(spark, d)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.answers import canonical_gold, extract_strict, last_hash_line
-from ledgerloom.functions.hashing import content_key, derive_seed, json_text
+from ledgerloom.functions.hashing import canonical_object, content_key, derive_seed, json_text
 from ledgerloom.functions.lenient import extract_lenient
 from ledgerloom.operators.merge import conflicts, first_per_key, insert_ignore, insert_replace, row_digest, sequence_gaps, upsert_if_changed
 from ledgerloom.registry import query
@@ -325,22 +325,35 @@ def slot_lineage(spark, d):
     )
 
 
+BATCH, LENGTH_BUCKET = 32, 16
+
+
 @query(
-    """SELECT gen_key, decoding_id, CAST(floor((r - 1) / 32.0) AS BIGINT) AS batch FROM (
-    SELECT gen_key, decoding_id, row_number() OVER (PARTITION BY decoding_id, bucket ORDER BY n_prompt_tokens DESC, gen_key) AS r FROM (
-    SELECT DISTINCT gen_key, json_extract_string(decoding_json, '$.id') AS decoding_id, n_prompt_tokens, CAST(floor(n_prompt_tokens / 16.0) AS BIGINT) AS bucket FROM generations))"""
+    f"""SELECT gen_key, decoding_id, CAST(floor((r - 1) / {BATCH}.0) AS BIGINT) AS batch FROM (
+    SELECT gen_key, decoding_id, row_number() OVER (PARTITION BY decoding_id ORDER BY n_prompt_tokens // {LENGTH_BUCKET} DESC NULLS LAST, gen_key) AS r FROM (
+    SELECT gen_key, min(json_extract_string(decoding_json, '$.id')) AS decoding_id, min(n_prompt_tokens) AS n_prompt_tokens FROM generations GROUP BY 1))"""
 )
 def batch_plan(spark, d):
-    """Batches of 32 requests of like length for each decoding; lengths in buckets, so that no window spans a decoding."""
-    g = table(spark, d, "generations", "gen_key", "decoding_json", "n_prompt_tokens").distinct()
-    rows = g.select("gen_key", F.get_json_object("decoding_json", "$.id").alias("decoding_id"), "n_prompt_tokens", F.floor(F.col("n_prompt_tokens") / 16).alias("bucket")).distinct()
-    w = Window.partitionBy("decoding_id", "bucket").orderBy(F.desc("n_prompt_tokens"), "gen_key")
-    return rows.select("gen_key", "decoding_id", F.floor((F.row_number().over(w) - 1) / 32).alias("batch"))
+    """Batches of 32 requests for each decoding: by length bucket from the longest, then by key, cut one after the other.
+
+    The place in the order is the start of a slice (length bucket and first two digits
+    of the key) plus the rank in it, so that no window spans a decoding.
+    """
+    g = table(spark, d, "generations", "gen_key", "decoding_json", "n_prompt_tokens").groupBy("gen_key").agg(F.min(F.get_json_object("decoding_json", "$.id")).alias("decoding_id"), F.min("n_prompt_tokens").alias("n"))
+    rows = g.withColumn("bucket", F.coalesce(F.floor(F.col("n") / LENGTH_BUCKET), F.lit(-1))).withColumn("part", F.substring("gen_key", 1, 2))
+    slices = rows.groupBy("decoding_id", "bucket", "part").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy("decoding_id").orderBy(F.desc("bucket"), "part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each slice
+    starts = slices.select("decoding_id", "bucket", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("decoding_id", "bucket", "part").orderBy("gen_key")) - 1
+    placed = rows.withColumn("rank", rank).join(starts, ["decoding_id", "bucket", "part"])
+    return placed.select("gen_key", "decoding_id", F.floor((F.col("start") + F.col("rank")) / BATCH).alias("batch"))
 
 
-_KEY_SQL = """sha256('{"decoding":' || decoding_json || ',"engine":"' || engine_fp || '","model":"' || model_id || '","nonce":' ||
-    CASE WHEN nonce IS NULL THEN 'null' ELSE '"' || nonce || '"' END || ',"prompt":"' || rendered_sha || '","revision":"' || model_revision || '","seed":' ||
-    CASE WHEN CAST(json_extract(decoding_json, '$.temperature') AS DOUBLE) = 0 OR seed IS NULL THEN 'null' ELSE CAST(CAST(seed AS BIGINT) AS VARCHAR) END || ',"v":1}')"""
+_PARAMS = ("max_new_tokens", "repetition_penalty", "temperature", "top_k", "top_p")
+_DECODING_SQL = "'{' || concat_ws(',', " + ", ".join(f"""'"{p}":' || json_extract(decoding_json, '$.{p}')""" for p in _PARAMS) + ") || '}'"
+_KEY_SQL = f"""sha256('{{"decoding":' || {_DECODING_SQL} || ',"engine":' || to_json(engine_fp) || ',"model":' || to_json(model_id) || ',"nonce":' ||
+    coalesce(to_json(nonce), 'null') || ',"prompt":' || to_json(rendered_sha) || ',"revision":' || to_json(model_revision) || ',"seed":' ||
+    CASE WHEN CAST(json_extract(decoding_json, '$.temperature') AS DOUBLE) = 0 OR seed IS NULL THEN 'null' ELSE CAST(CAST(seed AS BIGINT) AS VARCHAR) END || ',"v":1}}')"""
 
 
 @query(f"SELECT gen_key, {_KEY_SQL} AS content_key FROM (SELECT DISTINCT gen_key, decoding_json, engine_fp, model_id, nonce, rendered_sha, model_revision, seed FROM generations)")
@@ -350,7 +363,7 @@ def content_keys(spark, d):
     greedy = F.get_json_object("decoding_json", "$.temperature").cast("double") == 0
     seed = F.when(greedy | F.col("seed").isNull(), "null").otherwise(F.col("seed").cast("bigint").cast("string"))
     quoted = {name: json_text(F.col(column)) for name, column in (("engine", "engine_fp"), ("model", "model_id"), ("nonce", "nonce"), ("prompt", "rendered_sha"), ("revision", "model_revision"))}
-    return rows.select("gen_key", content_key({**quoted, "v": F.lit("1"), "seed": seed, "decoding": F.col("decoding_json")}).alias("content_key"))
+    return rows.select("gen_key", content_key({**quoted, "v": F.lit("1"), "seed": seed, "decoding": canonical_object(F.col("decoding_json"), _PARAMS)}).alias("content_key"))
 
 
 @query(

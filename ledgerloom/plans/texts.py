@@ -31,10 +31,19 @@ def prompt_duplicates(spark, d):
     return rows.groupBy(F.sha2("normal", 256).alias("h")).agg(F.min("normal").alias("normal"), F.count(F.lit(1)).alias("n"), F.min("prompt_hash").alias("first")).where("n > 1").drop("h")
 
 
+# numbers that stand alone: whole runs of word characters, points and commas, without points and commas at their end
+_ALONE = r"""SELECT DISTINCT prompt_hash, TRY_CAST(replace(w, ',', '') AS DECIMAL(38, 9)) AS v FROM (SELECT prompt_hash, rtrim(unnest(regexp_extract_all(text, '[\p{L}\p{N}_.,]+')), '.,') AS w FROM prompts)
+    WHERE regexp_full_match(w, '\d{1,3}(,\d{3})+(\.\d+)?|\d+(\.\d+)?')"""
+_GOLDS = r"""SELECT DISTINCT regexp_replace(CAST(v AS VARCHAR), '\.?0+$', '') AS gold, v FROM (SELECT TRY_CAST(replace(replace(gold, ',', ''), ' ', '') AS DECIMAL(38, 9)) AS v FROM items)
+    WHERE length(regexp_replace(regexp_replace(CAST(v AS VARCHAR), '\.?0+$', ''), '\D', '', 'g')) >= 3"""
+_LEAKS = f"SELECT DISTINCT prompt_hash, gold FROM ({_ALONE}) JOIN ({_GOLDS}) USING (v)"
+
+
 @query(
-    f"""WITH p AS (SELECT DISTINCT prompt_hash, text, {_NORMAL} AS normal FROM prompts), e AS (SELECT normal, min(prompt_hash) AS first FROM p GROUP BY 1)
+    f"""WITH k AS ({_LEAKS}), p AS (SELECT DISTINCT prompt_hash, text, {_NORMAL} AS normal FROM prompts), e AS (SELECT normal, min(prompt_hash) AS first FROM p GROUP BY 1)
     SELECT prompt_hash, concat_ws(',', CASE WHEN length(text) < {LEAST} THEN 'too_short' END, CASE WHEN length(text) > {MOST} THEN 'too_long' END, CASE WHEN NOT contains(text, '\\boxed') THEN 'no_format_instruction' END,
-    CASE WHEN prompt_hash > first THEN 'duplicate' END) AS violations FROM p JOIN e USING (normal)"""
+    CASE WHEN prompt_hash > first THEN 'duplicate' END, CASE WHEN prompt_hash IN (SELECT prompt_hash FROM k) THEN 'leaks_gold' END,
+    CASE WHEN regexp_matches(text, '(?i)</?(prompt|current_prompt|example|response|question)\\b[^>]*>') THEN 'contains_tags' END) AS violations FROM p JOIN e USING (normal)"""
 )
 def prompt_violations(spark, d):
     """What is wrong with each prompt as a candidate; a duplicate has the normal form of one with a lower hash."""
@@ -46,7 +55,7 @@ def prompt_violations(spark, d):
     return rows.select("prompt_hash", F.array_join(found, ",").alias("violations"))
 
 
-@query()
+@query(_LEAKS)
 def prompt_gold_leaks(spark, d):
     """Prompts that hold a gold answer of three digits or more as a number of its own."""
     p = _prompts(spark, d).select("prompt_hash", F.explode(numbers_in(F.col("text"))).alias("number"))

@@ -6,8 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.answers import canonical_decimal, canonical_gold, extract_strict, last_hash_line
-from ledgerloom.functions.hashing import derive_seed
-from ledgerloom.functions.lenient import canonical, exact, extract_lenient, lenient
+from ledgerloom.functions.hashing import canonical_object, content_key, derive_seed, json_text
+from ledgerloom.functions.lenient import canonical, exact, extract_lenient, last_number, lenient
 from ledgerloom.functions.prompting import fill, normal_form, numbers_in, shorten, tagged, violations
 from ledgerloom.functions.stats import accepts, mcnemar_exact, mcnemar_tail, spread, wilson
 from ledgerloom.plans.policies import dense, parse_policy
@@ -32,6 +32,12 @@ CASES = [
     ("\\boxed{1/3}", None, "1/3", "boxed"),
     ("", None, None, "none"),
     ("\\boxed{{{7}}}", None, "7", "boxed"),
+    ("first \\boxed{5} but finally \\boxed{a{b{c{d{7}}}}}", None, "7", "boxed"),
+    ("\\boxed{{{{{{8}}}}}} or \\boxed{9}", "9", "9", "boxed"),
+    ("\\boxed{5} then \\boxed{6", "5", "5", "boxed"),
+    ("\\boxed{\\}7}", None, "7", "boxed"),
+    ("**a __5__ b** and 77", None, "5", "bold"),
+    ("\\boxed{a \\boxed{6} b}", "6", "6", "boxed"),
 ]
 
 
@@ -78,6 +84,24 @@ def test_seeds(spark):
     assert (row.a, row.b, row.c) == (85220003, 898977416, 629778058)
 
 
+def test_last_number_has_its_place():
+    assert last_number("a ½ b １２ and c") == ("12", 6, 8) and last_number("none") is None and last_number("−5 x") == ("-5", 0, 2)
+
+
+def test_json_text_and_keys(spark):
+    import hashlib
+    import json
+
+    texts = ['plain', 'a "quoted" \\ back\nslash', "tab\t\x00\x1f\x0b é 中 \x7f /", "", "\\u000b", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.j for r in rows.orderBy("i").select(json_text(F.col("t")).alias("j")).collect()]
+    assert got == [json.dumps(t, ensure_ascii=False) for t in texts]
+    key = rows.orderBy("i").select(content_key({"b": json_text(F.col("t")), "a": F.lit("1")}).alias("k")).collect()
+    assert [r.k for r in key] == [hashlib.sha256(json.dumps({"a": 1, "b": t}, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest() for t in texts]
+    one = spark.range(1).select(canonical_object(F.lit('{"top_p": 1.0, "id": "x", "temperature": 0.20, "max_new_tokens": 9}'), ("temperature", "top_p", "top_k", "max_new_tokens")).alias("o")).first().o
+    assert one == '{"max_new_tokens":9,"temperature":0.20,"top_p":1.0}' or one == '{"max_new_tokens":9,"temperature":0.2,"top_p":1.0}'
+
+
 def test_statistics(spark):
     rows = spark.createDataFrame([(0, 0), (3, 1), (1, 3), (10, 0), (40, 25)], "w long, l long")
     for r in rows.select("w", "l", mcnemar_tail(F.col("w"), F.col("l")).alias("p")).collect():
@@ -88,7 +112,10 @@ def test_statistics(spark):
     assert sd([2.0]) == 0.0 and sd([None]) is None and sd([0.3, 0.6, 0.1]) == pytest.approx(0.2516611478)
     one = spark.range(1)
     say = lambda rule, w, l, n: one.select(accepts(rule, F.lit(w), F.lit(l), F.lit(n)).alias("a")).first().a
-    assert say("net_win", 3, 2, 20) and not say("win_rate", 1, 0, 20) and say("win_rate", 2, 1, 20) and not say("net_win", 1, 0, 0)
+    assert say("net_win", 3, 2, 20) and not say("win_rate", 1, 0, 21) and say("win_rate", 1, 0, 20) and not say("win_rate", 1, 1, 2) and not say("net_win", 1, 0, 0)
+    rule = lambda rule, w, l, n, **k: one.select(accepts(rule, F.lit(w), F.lit(l), F.lit(n), **k).alias("a")).first().a
+    assert not rule("net_win", 3, 2, 20, margin=0.05) and rule("net_win", 3, 1, 20, margin=0.05)
+    assert rule("mcnemar", 5, 0, 9, tail=F.lit(0.09)) and not rule("mcnemar", 5, 0, 9, tail=F.lit(0.10)) and not rule("mcnemar", 1, 2, 9, tail=F.lit(0.01))
     with pytest.raises(ValueError):
         accepts("other", F.lit(1), F.lit(1), F.lit(1))
 
