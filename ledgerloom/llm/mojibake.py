@@ -376,12 +376,15 @@ def _cased(word: str) -> bool:
     return word[1:].islower() or len(word) < 2 or word.isupper()
 
 
+_LONG_FOREIGN = re.compile(r"[^\x00-\x7f]{3}")
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def cyrillic_spans(text: str) -> list[Span]:
     """Sentences whose characters read as Russian only under another pair of single-byte encodings."""
     out, at = [], 0
+    if not _LONG_FOREIGN.search(text):
+        return out  # no sentence has the run of three that it takes
     for gap in [*_SENTENCE_END.finditer(text), None]:
         end = gap.start() if gap else len(text)
         sentence = text[at:end]
