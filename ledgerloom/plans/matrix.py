@@ -15,6 +15,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.lineage import cut
 from ledgerloom.plans.protocol import SCHEDULE, STORAGE_ENV as STORAGE
 from ledgerloom.sources.tables import table
 
@@ -109,10 +110,13 @@ WORD = 63
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """Cells in bit form, one row for each cell and block of items: masks of the items seen (p), correct under each extractor (v1, v2) and truncated.
+    """Cells in bit form, one row for each cell and block of items: masks of the items seen (p), correct under each extractor (v1, v2) and truncated, and the outputs (gens).
 
-    Comparing two cells is then a bit operation on a sixty-third of the rows.
+    Comparing two cells is then a bit operation on a sixty-third of the rows.  Written
+    to the shared folder, as analyses read it several times.
     """
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("item"), F.lit(WORD)).cast("int"))
     mask = lambda c: F.bit_or(F.when(F.col(c) == 1, bit).otherwise(F.lit(0).cast("bigint"))).alias(c)
-    return rows.groupBy("seed", "decoding", "slot", "draw_kind", "draw", F.floor(F.col("item") / WORD).alias("block")).agg(F.bit_or(bit).alias("p"), mask("v1"), mask("v2"), mask("truncated"), F.bool_or("physical").alias("physical"))
+    cells = rows.groupBy("seed", "decoding", "slot", "draw_kind", "draw", F.floor(F.col("item") / WORD).alias("block"))
+    gens = F.array_sort(F.collect_set(F.struct(F.col("item").cast("int").alias("item"), F.col("generation").cast("bigint").alias("generation")))).alias("gens")  # at most WORD of them
+    return cut(cells.agg(F.bit_or(bit).alias("p"), mask("v1"), mask("v2"), mask("truncated"), F.bool_or("physical").alias("physical"), gens))

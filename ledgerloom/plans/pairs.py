@@ -13,9 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.stats import EPS, accepts, rate, spread, wilson
-from ledgerloom.plans.protocol import T4_AGE, T4_LABELS, T7_AGES, T7_CHANGED, T7_UNCHANGED
-from ledgerloom.plans.matrix import ENVS, SCORES, STORAGE, duck, environments, packed, scores, trajectory
+from ledgerloom.functions.stats import EPS, accepts, mcnemar_tail, rate, spread, wilson
+from ledgerloom.plans.protocol import ALPHA, MARGIN, RULE, T4_AGE, T4_LABELS, T7_AGES, T7_CHANGED, T7_UNCHANGED, TAU
+from ledgerloom.plans.matrix import ENVS, SCORES, STORAGE, duck, environments, packed, scores, spark_sql, trajectory
 from ledgerloom.registry import query
 
 REFS = ("stored", "rescored", "rerun", "fresh")
@@ -45,14 +45,17 @@ def ground_truth(cells: DataFrame) -> DataFrame:
     return greedy.unionByName(drawn)
 
 
-def all_pairs(spark: SparkSession, d: str, mode: str = "incumbent", rule: str = "net_win", half: bool = False) -> DataFrame:
-    """One row per pair; ``half`` decides on the first half of the items and takes ground truth from the second."""
-    rows = scores(spark, d)
-    n_items = rows.agg(((F.max("item") + 1) / 2).cast("int").alias("mid"))
-    decide_on = rows.crossJoin(F.broadcast(n_items)).where("item < mid").drop("mid") if half else rows  # one row
-    truth_on = rows.crossJoin(F.broadcast(n_items)).where("item >= mid").drop("mid") if half else rows
-    bits = packed(decide_on)
-    rounds = bits.where("draw_kind = 'round'").drop("draw_kind")
+ROLES = ("cand", *REFS)
+
+
+class MissingCell(LookupError):
+    """A pair needs a cell that isn't complete."""
+
+
+def _counted(spark: SparkSession, d: str, mode: str, rows: DataFrame, truth: DataFrame) -> DataFrame:
+    """Every pair of the spine with its counts, the items each of its cells has (n_<role>), and ground truth; counts are null without cells."""
+    cells = packed(rows)
+    rounds = cells.where("draw_kind = 'round'").drop("draw_kind")
     d_st, x_st = (F.lit(v) for v in _STORAGE)
     wanted = {
         "stored": (d_st, F.col("ref"), F.col("i"), x_st),
@@ -65,41 +68,75 @@ def all_pairs(spark: SparkSession, d: str, mode: str = "incumbent", rule: str =
     role = lambda name, v: F.struct(F.lit(name).alias("role"), v[0].alias("decoding"), v[1].cast("int").alias("slot"), v[2].cast("int").alias("draw"), v[3].alias("x"))
     roles = pairs.select("seed", "env", "j", "i", F.explode(F.array(*[role(k, v) for k, v in wanted.items()])).alias("r")).select("seed", "env", "j", "i", "r.*")
     got = rounds.join(F.broadcast(roles), ["seed", "decoding", "slot", "draw"])  # a few thousand roles, fixed by rounds and environments
+    of = lambda k, c: F.max(F.when(F.col("role") == k, c))
+    none = F.lit(0).cast("bigint")
     wide = got.groupBy("seed", "env", "j", "i", "block").agg(
-        *[F.max(F.when(F.col("role") == k, _mask(F.col("x")))).alias(k) for k in wanted],
-        F.max(F.when(F.col("role") == "cand", F.col("p"))).alias("p"),
-        F.max(F.when(F.col("role") == "rerun", F.col("truncated"))).alias("t"),
-    )
+        *[F.coalesce(of(k, _mask(F.col("x"))), none).alias(k) for k in wanted],
+        *[F.coalesce(of(k, F.col("p")), none).alias(f"p_{k}") for k in wanted],
+        F.coalesce(of("rerun", F.col("truncated")), none).alias("t"),
+        of("stored", F.col("gens")).alias("g_stored"), of("rerun", F.col("gens")).alias("g_rerun"),
+    )
     ones = lambda c: F.sum(F.bit_count(c))
     counts = wide.groupBy("seed", "env", "j", "i").agg(
-        ones(F.col("p")).alias("n"),
-        (ones(F.col("t")) / ones(F.col("p"))).alias("trunc_rerun"),
+        *[ones(F.col(f"p_{k}")).alias(f"n_{k}") for k in ROLES],
+        rate(ones(F.col("t")), ones(F.col("p_rerun"))).alias("trunc_rerun"),
+        rate(F.sum(F.size(F.array_intersect("g_stored", "g_rerun"))), ones(F.col("p_stored").bitwiseAND(F.col("p_rerun")))).alias("same"),
         *[ones(F.col("cand").bitwiseAND(F.bitwise_not(k))).alias(f"w_{k}") for k in REFS],
         *[ones(F.bitwise_not("cand").bitwiseAND(F.col(k))).alias(f"l_{k}") for k in REFS],
     )
-    # outputs shared by the stored and the rerun cell, item by item
-    r = rows.where("draw_kind = 'round'") if not half else decide_on.where("draw_kind = 'round'")
-    old = r.where(F.col("decoding") == _STORAGE[0]).select("seed", F.col("slot").alias("ref"), F.col("draw").alias("i"), "item", F.col("generation").alias("g1"))
-    new = r.where(F.col("decoding") == _STORAGE[0]).select("seed", F.col("slot").alias("ref"), F.col("draw").alias("j"), "item", F.col("generation").alias("g2"))
-    needed = pairs.select("seed", "ref", "i", "j").distinct()
-    same = old.join(F.broadcast(needed), ["seed", "ref", "i"]).join(new, ["seed", "ref", "j", "item"]).groupBy("seed", "ref", "i", "j").agg(F.avg((F.col("g1") == F.col("g2")).cast("int")).alias("same"))
-    gt = ground_truth(packed(truth_on))
-
-    def truth(name: str, slot: str) -> DataFrame:
-        return gt.select("seed", F.col("decoding").alias("d_c"), F.col("slot").alias(slot), F.col("draw").alias("_at"), F.col("extractor").alias("x_c"), F.col("acc").alias(name))
-
-    out = pairs.join(counts, ["seed", "env", "j", "i"]).join(same, ["seed", "ref", "i", "j"], "left").withColumn("_at", F.when(F.col("d_c") == "greedy", F.col("j")).otherwise(F.lit(-1)))
-    out = out.withColumn("cand_slot", F.col("j"))
+    gt = ground_truth(cells if truth is rows else packed(truth))
+    out = pairs.join(counts, ["seed", "env", "j", "i"], "left").withColumn("_at", F.when(F.col("d_c") == "greedy", F.col("j")).otherwise(F.lit(-1))).withColumn("cand_slot", F.col("j"))
     for name, slot in (("gt_cand", "cand_slot"), ("gt_cur", "cur"), ("gt_ref", "ref")):
-        out = out.join(truth(name, slot), ["seed", "d_c", slot, "_at", "x_c"], "left")
-    dec = {k: accepts(rule, F.col(f"w_{k}"), F.col(f"l_{k}"), F.col("n")) for k in REFS}
+        found = gt.select("seed", F.col("decoding").alias("d_c"), F.col("slot").alias(slot), F.col("draw").alias("_at"), F.col("extractor").alias("x_c"), F.col("acc").alias(name))
+        out = out.join(found, ["seed", "d_c", slot, "_at", "x_c"], "left")
+    return out
+
+
+def _reason(n_items: Column) -> Column:
+    """Why a pair can't be judged: the first of its cells that lacks items, or ground truth; null if it can."""
+    lacks = [F.when(F.coalesce(F.col(f"n_{k}"), F.lit(0)) < n_items, F.lit(f"missing cell: {k}")) for k in ROLES]
+    return F.coalesce(*lacks, F.when(F.col("gt_cand").isNull() | F.col("gt_cur").isNull() | F.col("gt_ref").isNull(), F.lit("missing ground truth")))
+
+
+def _halves(rows: DataFrame, half: bool) -> tuple[DataFrame, DataFrame]:
+    if not half:
+        return rows, rows
+    split = rows.crossJoin(F.broadcast(rows.agg(((F.max("item") + 1) / 2).cast("int").alias("mid"))))  # one row
+    return split.where("item < mid").drop("mid"), split.where("item >= mid").drop("mid")
+
+
+def skipped_pairs(spark: SparkSession, d: str, rows: DataFrame, mode: str = "incumbent", half: bool = False) -> DataFrame:
+    """(seed, env, j, i, reason): pairs that need a cell without all items, or ground truth that isn't there."""
+    decide_on, truth_on = _halves(rows, half)
+    n_items = F.broadcast(decide_on.agg(F.count_distinct("item").alias("n_items")))  # one row
+    judged = _counted(spark, d, mode, decide_on, truth_on).crossJoin(n_items).withColumn("reason", _reason(F.col("n_items")))
+    return judged.where("reason IS NOT NULL").select("seed", "env", "j", "i", "reason")
+
+
+def all_pairs(spark: SparkSession, d: str, mode: str = "incumbent", rule: str = RULE, half: bool = False, rows: DataFrame | None = None, on_missing: str = "skip") -> DataFrame:
+    """One row per pair; ``half`` decides on the first half of the items and takes ground truth from the second.
+
+    ``rows`` are cells item by item (seed, decoding, slot, draw_kind, draw, item,
+    physical, truncated, generation, v1, v2), by default the synthetic matrix.  A pair
+    one of whose cells lacks items is left out (``skipped_pairs`` lists it), or raises
+    ``MissingCell`` with ``on_missing`` "raise".
+    """
+    rows = scores(spark, d) if rows is None else rows
+    decide_on, truth_on = _halves(rows, half)
+    n_items = F.broadcast(decide_on.agg(F.count_distinct("item").alias("n_items")))  # one row
+    judged = _counted(spark, d, mode, decide_on, truth_on).crossJoin(n_items).withColumn("reason", _reason(F.col("n_items")))
+    if on_missing == "raise" and (bad := judged.where("reason IS NOT NULL").select("seed", "env", "j", "i", "reason").first()) is not None:
+        raise MissingCell(str(bad.asDict()))
+    out = judged.where("reason IS NULL").withColumn("n", F.col("n_cand"))
+    n = F.col("n")
+    tail = {k: mcnemar_tail(F.col(f"w_{k}"), F.col(f"l_{k}")) if rule == "mcnemar" else None for k in REFS}
+    dec = {k: accepts(rule, F.col(f"w_{k}"), F.col(f"l_{k}"), n, MARGIN, TAU, tail[k], ALPHA) for k in REFS}
     worse = {c: F.col("gt_cand") <= F.col(f"gt_{c}") + EPS for c in ("cur", "ref")}
     same_frac = F.when(F.col("d_c") == _STORAGE[0], F.col("same")).otherwise(F.lit(0.0))
-    n = F.col("n")
     part = {"infl_extract": rate(F.col("w_stored") - F.col("w_rescored"), n), "infl_generation": rate(F.col("w_rescored") - F.col("w_rerun"), n)}
     return out.select(
         "seed", "env", "j", "i", (F.col("j") - F.col("i")).alias("age"), F.col("ref").alias("ref_slot"), F.col("cur").alias("cur_slot"), "n",
-        *[f"w_{k}" for k in REFS], *[f"l_{k}" for k in REFS],
+        *[f"w_{k}" for k in REFS], *[f"l_{k}" for k in REFS], *[rate(F.col(f"w_{k}"), n).alias(f"win_{k}") for k in REFS],
         (part["infl_extract"] + part["infl_generation"]).alias("inflation"), *[v.alias(k) for k, v in part.items()],
         *[dec[k].alias(f"dec_{k}") for k in REFS], (dec["stored"] != dec["rerun"]).alias("flip"),
         "gt_cand", "gt_cur", "gt_ref",
@@ -108,6 +145,20 @@ def all_pairs(spark: SparkSession, d: str, mode: str = "incumbent", rule: str =
     )
 
 
+def item_diffs(spark: SparkSession, d: str, age: int, mode: str = "incumbent", rows: DataFrame | None = None) -> DataFrame:
+    """(env, item, x): per item the mean over pairs of that age of (candidate beats stored) - (candidate beats rerun), the unit of resampling."""
+    rows = (scores(spark, d) if rows is None else rows).where("draw_kind = 'round'").select("seed", "decoding", "slot", "draw", "item", "v1", "v2")
+    pairs = spine(spark, d, mode).where(F.col("j") - F.col("i") == age)
+    role = lambda name, dec, slot, draw, x: F.struct(F.lit(name).alias("role"), dec.alias("decoding"), slot.cast("int").alias("slot"), draw.cast("int").alias("draw"), x.alias("x"))
+    d_st, x_st = (F.lit(v) for v in _STORAGE)
+    three = F.array(role("cand", F.col("d_c"), F.col("j"), F.col("j"), F.col("x_c")), role("stored", d_st, F.col("ref"), F.col("i"), x_st), role("rerun", F.col("d_c"), F.col("ref"), F.col("j"), F.col("x_c")))
+    roles = pairs.select("seed", "env", "j", "i", F.explode(three).alias("r")).select("seed", "env", "j", "i", "r.*")
+    got = rows.join(F.broadcast(roles), ["seed", "decoding", "slot", "draw"])  # fixed by rounds and environments
+    of = lambda k: F.max(F.when(F.col("role") == k, _mask(F.col("x"))))
+    wide = got.groupBy("seed", "env", "j", "i", "item").agg(of("cand").alias("c"), of("stored").alias("s"), of("rerun").alias("r"))
+    return wide.groupBy("env", "item").agg(F.avg(F.col("c") * (1 - F.col("s")) - F.col("c") * (1 - F.col("r"))).alias("x"))
+
+
 def summary(pairs: DataFrame, *by: str) -> DataFrame:
     """Pooled rates and two-level means of pairs grouped by ``by``; no names make one global row."""
     total = {k: F.sum(f"w_{k}") for k in REFS}
@@ -145,7 +196,7 @@ def _pairs_sql(mode: str = "incumbent", half: bool = False) -> str:
     q AS (SELECT seed, env, d_c, x_c, j, i, ref, cur, cand_slot, count(*) AS n, avg(same) AS same_gen_frac, avg(tr_) AS trunc_rerun,
       {", ".join(f"CAST(sum(cand * (1 - {k})) AS BIGINT) AS w_{k}, CAST(sum((1 - cand) * {k}) AS BIGINT) AS l_{k}" for k in REFS)} FROM f GROUP BY ALL),
     g AS (SELECT *, {gt("cand_slot")} AS gt_cand, {gt("cur")} AS gt_cur, {gt("ref")} AS gt_ref FROM q),
-    pairs AS (SELECT seed, env, j, i, j - i AS age, ref AS ref_slot, cur AS cur_slot, n, {", ".join(f"w_{k}, l_{k}" for k in REFS)},
+    pairs AS (SELECT seed, env, j, i, j - i AS age, ref AS ref_slot, cur AS cur_slot, n, {", ".join(f"w_{k}, l_{k}, CAST(w_{k} AS DOUBLE) / n AS win_{k}" for k in REFS)},
       CAST(w_stored - w_rerun AS DOUBLE) / n AS inflation, CAST(w_stored - w_rescored AS DOUBLE) / n AS infl_extract, CAST(w_rescored - w_rerun AS DOUBLE) / n AS infl_generation,
       {", ".join(f"w_{k} > l_{k} AS dec_{k}" for k in REFS)}, (w_stored > l_stored) <> (w_rerun > l_rerun) AS flip, gt_cand, gt_cur, gt_ref,
       {", ".join(f"w_{k} > l_{k} AND gt_cand <= gt_{c} + 1e-9 AS fa_{c}_{k}" for c in ("cur", "ref") for k in REFS)},
@@ -157,7 +208,7 @@ def _round(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-_DOUBLES = ("inflation", "infl_extract", "infl_generation", "gt_cand", "gt_cur", "gt_ref", "same_gen_frac", "trunc_rerun")
+_DOUBLES = ("win_stored", "win_rescored", "win_rerun", "win_fresh", "inflation", "infl_extract", "infl_generation", "gt_cand", "gt_cur", "gt_ref", "same_gen_frac", "trunc_rerun")
 _PAIRS = "SELECT * REPLACE (" + ", ".join(f"round({c}, 9) AS {c}" for c in _DOUBLES) + ") FROM pairs"
 
 
@@ -247,3 +298,45 @@ def table_ages_by_change(spark, d):
 def table_envs_at_age(spark, d):
     """T4: every environment at the registered age."""
     return _round(table_of(spark.createDataFrame(_T4, "env string, age int, label string"), all_pairs(spark, d)))
+
+
+_HOLE = "H('hole|' || seed || '|' || decoding || '|' || slot || '|' || draw) % 29 = 0 AND draw_kind = 'round'"
+
+
+@query(
+    duck(_pairs_sql().replace("dd AS (SELECT sc.* FROM sc, mm WHERE draw_kind = 'round' AND true)", f"dd AS (SELECT sc.* FROM sc, mm WHERE draw_kind = 'round' AND NOT ({_HOLE}))").replace("FROM sc, mm WHERE (draw_kind = 'gt'", f"FROM sc, mm WHERE NOT ({_HOLE}) AND (draw_kind = 'gt'"))
+    + """, hv AS (SELECT DISTINCT seed, decoding, slot, draw FROM dd), c1 AS (SELECT sp.*, EXISTS (SELECT 1 FROM hv h WHERE h.seed = sp.seed AND h.decoding = d_c AND h.slot = j AND h.draw = j) AS cand,
+      EXISTS (SELECT 1 FROM hv h WHERE h.seed = sp.seed AND h.decoding = 'greedy' AND h.slot = ref AND h.draw = i) AS stored, EXISTS (SELECT 1 FROM hv h WHERE h.seed = sp.seed AND h.decoding = d_c AND h.slot = ref AND h.draw = j) AS rerun,
+      EXISTS (SELECT 1 FROM hv h WHERE h.seed = sp.seed AND h.decoding = d_c AND h.slot = cur AND h.draw = j) AS fresh FROM sp)
+    SELECT seed, env, j, i, CASE WHEN NOT cand THEN 'missing cell: cand' WHEN NOT stored THEN 'missing cell: stored' WHEN NOT rerun THEN 'missing cell: rerun' ELSE 'missing cell: fresh' END AS reason
+    FROM c1 WHERE NOT (cand AND stored AND rerun AND fresh)"""
+)
+def pairs_skipped(spark, d):
+    """Pairs of a matrix with holes (every 29th cell by hash is lost) that can't be judged, with the reason."""
+    lost = spark_sql(_HOLE)
+    return skipped_pairs(spark, d, scores(spark, d).where(f"NOT ({lost})"))
+
+
+@query(duck(_pairs_sql()) + f" SELECT env, item, round(avg(cand * (1 - stored) - cand * (1 - rerun)), 9) AS x FROM f WHERE j - i = {T4_AGE} GROUP BY 1, 2")
+def pair_item_diffs(spark, d):
+    """Per item and environment the drift at the registered age."""
+    return _round(item_diffs(spark, d, T4_AGE))
+
+
+_MC = "wins_ > losses_ AND (SELECT sum(exp(lgamma(m + 1.0) - lgamma(q + 1.0) - lgamma(m - q + 1.0) - m * ln(2.0))) FROM (SELECT wins_ + losses_ AS m, unnest(range(wins_, wins_ + losses_ + 1)) AS q)) < " + str(ALPHA)
+
+
+@query(
+    duck(_pairs_sql())
+    + ", u AS ("
+    + " UNION ALL ".join(f"SELECT seed, env, j, i, '{k}' AS comparator, w_{k} AS wins_, l_{k} AS losses_, n FROM pairs" for k in REFS)
+    + f") SELECT comparator, env, count(*) FILTER (CAST(wins_ - losses_ AS DOUBLE) / n > {MARGIN}) AS net_win, count(*) FILTER (wins_ > losses_ AND CAST(wins_ AS DOUBLE) / n >= {TAU}) AS win_rate, count(*) FILTER ({_MC}) AS mcnemar FROM u GROUP BY 1, 2"
+)
+def promotions_by_rule(spark, d):
+    """How many pairs each promotion rule accepts under each comparator."""
+    pairs = all_pairs(spark, d)
+    long = pairs.select("env", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("comparator"), F.col(f"w_{k}").alias("w"), F.col(f"l_{k}").alias("l")) for k in REFS])).alias("r")).select("env", "n", "r.*")
+    w, l, n = F.col("w"), F.col("l"), F.col("n")
+    return long.groupBy("comparator", "env").agg(
+        F.count_if(accepts("net_win", w, l, n, MARGIN)).alias("net_win"), F.count_if(accepts("win_rate", w, l, n, tau=TAU)).alias("win_rate"), F.count_if(accepts("mcnemar", w, l, n, tail=mcnemar_tail(w, l), alpha=ALPHA)).alias("mcnemar")
+    )
