@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("store", "pairs", "policies", "texts", "inference", "planner", "streams")
+MODULES = ("store", "pairs", "policies", "texts", "inference", "planner", "streams", "cube")
 
 
 def load() -> None:

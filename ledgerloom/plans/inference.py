@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.hashing import hash32, joined
 from ledgerloom.functions.stats import accepts, mcnemar_table, mcnemar_tail, rate, spread, wilson
-from ledgerloom.plans.matrix import SCORES, duck, scores as matrix_scores
-from ledgerloom.plans.pairs import _Z, _pairs_sql, all_pairs
-from ledgerloom.plans.protocol import ALPHA, REPLICATES, TAU
+from ledgerloom.lineage import cut
+from ledgerloom.plans.matrix import SCORES, duck, packed, scores as matrix_scores
+from ledgerloom.plans.pairs import _Z, _pairs_sql, item_diffs
+from ledgerloom.plans.policies import DEFAULT, POLICIES, _replay_sql, replay
+from ledgerloom.plans.protocol import ALPHA, EQUIVALENCE_MARGIN_PP, REPLICATES, STORAGE_ENV, T4_AGE, TAU
 from ledgerloom.plans.store import _SCORES, C, cells, scores
 from ledgerloom.registry import query
 
@@ -89,23 +91,77 @@ def item_means(spark, d) -> DataFrame:
     return long.groupBy("e.env", "item").agg(F.avg("e.x").alias("x"))
 
 
-def bootstrap(means: DataFrame, replicates: int, *by: str) -> DataFrame:
-    """(by, point, lo, hi): percentile intervals of the mean over items, every group resampled with the same indices.
+ITEMS_A_BUCKET = 10_000
+
+
+def numbered(items: DataFrame) -> DataFrame:
+    """(item, pos): items numbered from 0 in their order, by buckets, so that no task holds all of them."""
+    rows = items.select("item").distinct().withColumn("bucket", F.floor(F.col("item") / ITEMS_A_BUCKET))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row for each bucket
+    starts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).select("bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("item")) - 1
+    return rows.withColumn("rank", rank).join(starts, "bucket").select("item", (F.col("start") + F.col("rank")).alias("pos"))
+
+
+def replicate_means(means: DataFrame, replicates: int, *by: str) -> DataFrame:
+    """(by, b, m): the mean of every group in every replicate, all groups resampled with the same indices.
 
     A replicate draws as many items as there are, by hash; only how often each item
     is drawn matters, so replicates are counted per item before they meet the
     values, and no replicate is gathered anywhere.
     """
-    index = means.select("item").distinct()
-    numbered = index.withColumn("pos", F.row_number().over(Window.orderBy("item")) - 1)  # items of one split; their number is the size of a resample
-    n = numbered.agg(F.count(F.lit(1)).alias("n_items"))
-    draws = numbered.crossJoin(F.broadcast(n)).select("n_items", F.col("pos").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    index = cut(numbered(means))
+    n = index.agg(F.count(F.lit(1)).alias("n_items"))
+    draws = index.crossJoin(F.broadcast(n)).select("n_items", F.col("pos").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))  # n is one row
     draws = draws.select("b", F.pmod(hash32(joined(F.lit("b"), F.col("b"), F.col("draw"))), F.col("n_items")).alias("pos")).groupBy("b", "pos").agg(F.count(F.lit(1)).alias("times"))
-    weighted = draws.join(numbered, "pos").join(means, "item")
-    stat = weighted.groupBy(*by, "b").agg((F.sum(F.col("times") * F.col("x")) / F.sum("times")).alias("m"))
-    ends = stat.groupBy(*by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    point = means.groupBy(*by).agg(F.avg("x").alias("point"))
-    return point.join(ends, list(by)).select(*by, F.round("point", 9).alias("point"), F.round(F.col("q")[0], 9).alias("lo"), F.round(F.col("q")[1], 9).alias("hi"))
+    weighted = draws.join(index, "pos").join(means, "item")
+    return weighted.groupBy(*by, "b").agg((F.sum(F.col("times") * F.col("x")) / F.sum("times")).alias("m"))
+
+
+def interval(values: DataFrame, *by: str, column: str = "m") -> DataFrame:
+    """(by, lo, hi): the 95 % percentile interval, linearly interpolated."""
+    ends = values.groupBy(*by).agg(F.percentile(column, F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return ends.select(*by, F.round(F.col("q")[0], 9).alias("lo"), F.round(F.col("q")[1], 9).alias("hi"))
+
+
+def bootstrap(means: DataFrame, replicates: int, *by: str) -> DataFrame:
+    """(by, point, lo, hi): percentile intervals of the mean over items."""
+    point = means.groupBy(*by).agg(F.round(F.avg("x"), 9).alias("point"))
+    if replicates < 1:
+        return point.select("*", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    return point.join(interval(replicate_means(means, replicates, *by), *by), list(by))
+
+
+def bootstrap_difference(means: DataFrame, replicates: int, by: str, control: str) -> DataFrame:
+    """(by, point, lo, hi): the mean of every group less that of the control, with one index vector for both."""
+    stats = cut(replicate_means(means, replicates, by))
+    base = stats.where(F.col(by) == control).select("b", F.col("m").alias("c"))
+    differ = stats.where(F.col(by) != control).join(base, "b").withColumn("m", F.col("m") - F.col("c"))
+    points = means.groupBy(by).agg(F.avg("x").alias("p"))
+    of = points.where(F.col(by) == control).select(F.col("p").alias("c"))
+    point = points.where(F.col(by) != control).crossJoin(F.broadcast(of)).select(by, F.round(F.col("p") - F.col("c"), 9).alias("point"))  # one row
+    return point.join(interval(differ, by), by)
+
+
+def bootstrap_statistic(means: DataFrame, replicates: int, stat, *by: str) -> DataFrame:
+    """(by, lo, hi) for any statistic: ``stat`` takes the values drawn, as an array, and gives a number.
+
+    For statistics that the counts of draws don't determine; a replicate of one group
+    is gathered in one task, so its size is that of the item set.
+    """
+    import pandas as pd
+
+    index = cut(numbered(means))
+    n = index.agg(F.count(F.lit(1)).alias("n_items"))
+    draws = index.crossJoin(F.broadcast(n)).select("n_items", F.col("pos").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))  # one row
+    draws = draws.select("b", F.pmod(hash32(joined(F.lit("b"), F.col("b"), F.col("draw"))), F.col("n_items")).alias("pos"))
+    rows = draws.join(index, "pos").join(means, "item").select(*by, "b", "x")
+    types = dict(means.dtypes)
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{**{c: group[c].iloc[0] for c in by}, "m": float(stat(group["x"].to_numpy()))}])
+
+    return interval(rows.groupBy(*by, "b").applyInPandas(one, ", ".join([*[f"{c} {types[c]}" for c in by], "m double"])), *by)
 
 
 _MEANS = f"""WITH {SCORES}, rr AS (SELECT * FROM sc WHERE draw_kind = 'round'), st AS (SELECT seed, item, v1 AS s FROM rr WHERE decoding = 'greedy' AND slot = 0 AND draw = 0),
@@ -122,8 +178,42 @@ def bootstrap_inflation(spark, d):
     return bootstrap(item_means(spark, d), REPLICATES, "env")
 
 
-@query(duck(_pairs_sql()) + " SELECT env, round(avg(inflation) FILTER (age = 3) * 100, 6) AS inflation_pp, count(*) FILTER (age = 3) AS n_pairs FROM pairs GROUP BY 1")
+_DIFFS = duck(
+    _pairs_sql()
+    + f""", m AS (SELECT env, item, avg(cand * (1 - stored) - cand * (1 - rerun)) AS x FROM f WHERE j - i = {T4_AGE} GROUP BY 1, 2), nu AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS pos, count(*) OVER () AS n FROM it),
+    dr AS (SELECT b, H('b|' || b || '|' || pos) % n AS pos FROM nu CROSS JOIN (SELECT unnest(range(0, {REPLICATES})) AS b)), bs AS (SELECT env, b, avg(x) AS mean FROM dr JOIN nu USING (pos) JOIN m USING (item) GROUP BY 1, 2)"""
+)
+
+
+@query(_DIFFS + " SELECT env, round(max(p), 9) AS point, round(quantile_cont(mean, 0.025), 9) AS lo, round(quantile_cont(mean, 0.975), 9) AS hi FROM bs JOIN (SELECT env, avg(x) AS p FROM m GROUP BY 1) USING (env) GROUP BY env")
+def inflation_intervals(spark, d):
+    """Inflation at the registered age per environment with its interval over items."""
+    return bootstrap(cut(item_diffs(spark, d, T4_AGE)), REPLICATES, "env")
+
+
+@query(
+    _DIFFS
+    + """, df AS (SELECT a.env, a.mean - c.mean AS m FROM bs a JOIN bs c ON c.env = 'E1' AND c.b = a.b AND a.env <> 'E1'), pt AS (SELECT env, avg(x) AS p FROM m GROUP BY 1)
+    SELECT df.env, round(max(pt.p - c.p), 9) AS point, round(quantile_cont(m, 0.025), 9) AS lo, round(quantile_cont(m, 0.975), 9) AS hi FROM df JOIN pt ON pt.env = df.env JOIN pt c ON c.env = 'E1' GROUP BY 1"""
+)
 def hypothesis_inflation(spark, d):
-    """Mean inflation at age 3 in percentage points."""
-    rows = all_pairs(spark, d).where("age = 3")
-    return rows.groupBy("env").agg(F.round(F.avg("inflation") * 100, 6).alias("inflation_pp"), F.count(F.lit(1)).alias("n_pairs"))
+    """H1: inflation at the registered age under each changed environment less that of the unchanged one."""
+    return bootstrap_difference(cut(item_diffs(spark, d, T4_AGE)), REPLICATES, "env", STORAGE_ENV)
+
+
+@query(
+    duck(_replay_sql(DEFAULT))
+    + f""", fr AS (SELECT policy, count(*) FILTER (false_accept) / nullif(count(*) FILTER (accepted), 0) AS far, sum(CASE WHEN refresh IN ('refresh', 'fixed_age') THEN n ELSE 0 END) AS ref_calls FROM o GROUP BY 1),
+    c AS (SELECT * FROM (VALUES ('H2', 'P1', 'P2'), ('H2', 'P1b', 'P2'), ('H3', 'P3', 'P2')) AS v(hypothesis, policy, control))
+    SELECT hypothesis, c.policy, control, round((a.far - b.far) * 100, 6) AS far_difference_pp, CASE WHEN hypothesis = 'H3' THEN round(a.ref_calls / nullif(b.ref_calls, 0), 9) END AS reference_call_ratio,
+    CASE WHEN hypothesis = 'H3' THEN abs(a.far - b.far) * 100 <= {EQUIVALENCE_MARGIN_PP} END AS within_margin FROM c JOIN fr a ON a.policy = c.policy JOIN fr b ON b.policy = control"""
+)
+def hypotheses_policies(spark, d):
+    """H2: false-accept rates of the frozen policies less that of refreshing every round; H3: that of refreshing on change, its reference calls and the equivalence margin."""
+    rows = replay(spark, packed(matrix_scores(spark, d)), DEFAULT, POLICIES)
+    refreshed = F.when(F.col("refresh").isin("refresh", "fixed_age"), F.col("n")).otherwise(F.lit(0))
+    far = rows.groupBy("policy").agg(rate(F.count_if("false_accept"), F.count_if("accepted")).alias("far"), F.sum(refreshed).cast("double").alias("calls"))
+    wanted = spark.createDataFrame([("H2", "P1", "P2"), ("H2", "P1b", "P2"), ("H3", "P3", "P2")], "hypothesis string, policy string, control string")
+    met = wanted.join(far, "policy").join(far.select(F.col("policy").alias("control"), F.col("far").alias("far_c"), F.col("calls").alias("calls_c")), "control")
+    apart, third = (F.col("far") - F.col("far_c")) * 100, F.col("hypothesis") == "H3"
+    return met.select("hypothesis", "policy", "control", F.round(apart, 6).alias("far_difference_pp"), F.when(third, F.round(F.try_divide("calls", "calls_c"), 9)).alias("reference_call_ratio"), F.when(third, F.abs(apart) <= EQUIVALENCE_MARGIN_PP).alias("within_margin"))
