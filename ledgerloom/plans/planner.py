@@ -36,7 +36,7 @@ def with_parts(config: dict, **parts: dict) -> dict:
 
 
 SMOKE = with_parts(FULL, run={"name": "smoke", "seeds": [0, 1], "rounds": 4}, data={"dev": {"n": 24}, "eval": {"n": 24}}, audit={"repeats": 1, "n_items": 24, "slots": [0, 4]})
-LEAN = with_parts(FULL, run={"name": "lean"}, matrix={"mode": "lean", "physical_greedy_reruns": "none"}, audit={"enabled": False})
+LEAN = with_parts(FULL, run={"name": "lean"}, matrix={"mode": "lean", "physical_greedy_reruns": "none"}, audit={"repeats": 1, "n_items": 100})
 
 
 def used_decodings(config: dict) -> tuple[list[str], list[str]]:
