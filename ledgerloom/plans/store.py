@@ -99,39 +99,66 @@ def cache_hits_misses(spark, d):
     return rows.groupBy("run_id").agg(F.sum("n").alias("n_requested"), F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("hit").isNull()).alias("n_misses"))
 
 
-@query(f"SELECT {_KEYS}, count(DISTINCT gen_key) AS n_values FROM cells GROUP BY ALL HAVING count(DISTINCT gen_key) > 1")
+# The log breaks none of the guards.  So that they are seen to fire, violations are planted: rows derived from some of a table's own.
+
+
+def planted(rows: DataFrame, where: str, **changed: str) -> DataFrame:
+    """``rows`` and, again, those of them for which ``where`` holds, with columns replaced by SQL expressions."""
+    names = [f"({changed[c]}) AS {c}" if c in changed else c for c in rows.columns]
+    return rows.unionByName(rows.where(where).selectExpr(*names))
+
+
+def _planted_sql(table_: str, columns: str, where: str, **changed: str) -> str:
+    names = ", ".join(f"({changed[c]}) AS {c}" if c in changed else c for c in columns.split(", "))
+    return f"(SELECT {columns} FROM {table_} UNION ALL SELECT {names} FROM {table_} WHERE {where})"
+
+
+_CELLS_PLANTED = _planted_sql("cells", f"{_KEYS}, gen_key", "substr(gen_key, 1, 1) = '0'", gen_key="reverse(gen_key)")
+
+
+@query(f"SELECT {_KEYS}, count(DISTINCT gen_key) AS n_values FROM {_CELLS_PLANTED} GROUP BY ALL HAVING count(DISTINCT gen_key) > 1")
 def cell_conflicts(spark, d):
-    return conflicts(table(spark, d, "cells"), CELL_KEY, "gen_key")
+    """Cells planned with another generation than the stored one; a sixteenth is planted."""
+    return conflicts(planted(table(spark, d, "cells", *CELL_KEY, "gen_key"), "substr(gen_key, 1, 1) = '0'", gen_key="reverse(gen_key)"), CELL_KEY, "gen_key")
 
 
-@query("SELECT split, idx, count(DISTINCT question) AS n_values FROM items GROUP BY ALL HAVING count(DISTINCT question) > 1")
+@query(f"SELECT split, idx, count(DISTINCT question) AS n_values FROM {_planted_sql('items', 'split, idx, question', 'idx % 37 = 0', question="question || ' '")} GROUP BY ALL HAVING count(DISTINCT question) > 1")
 def item_conflicts(spark, d):
-    return conflicts(table(spark, d, "items", "split", "idx", "question"), ["split", "idx"], "question")
+    """Items whose question differs from the stored one; every 37th is planted."""
+    return conflicts(planted(table(spark, d, "items", "split", "idx", "question"), "idx % 37 = 0", question="question || ' '"), ["split", "idx"], "question")
 
 
-@query("SELECT run_id, seed, slot, count(DISTINCT prompt_hash) AS n_values FROM slots GROUP BY ALL HAVING count(DISTINCT prompt_hash) > 1")
+@query(f"SELECT run_id, seed, slot, count(DISTINCT prompt_hash) AS n_values FROM {_planted_sql('slots', 'run_id, seed, slot, prompt_hash', 'seed = 0 AND slot = 1', prompt_hash='reverse(prompt_hash)')} GROUP BY ALL HAVING count(DISTINCT prompt_hash) > 1")
 def slot_conflicts(spark, d):
-    return conflicts(table(spark, d, "slots"), ["run_id", "seed", "slot"], "prompt_hash")
+    """Slots that hold another prompt than the stored one; slot 1 of seed 0 is planted."""
+    return conflicts(planted(table(spark, d, "slots", "run_id", "seed", "slot", "prompt_hash"), "seed = 0 AND slot = 1", prompt_hash="reverse(prompt_hash)"), ["run_id", "seed", "slot"], "prompt_hash")
 
 
 @query(
-    """SELECT c.run_id, count(DISTINCT g.engine_fp) AS n_values FROM cells c JOIN generations g USING (gen_key)
+    f"""SELECT c.run_id, count(DISTINCT g.engine_fp) AS n_values FROM cells c JOIN {_planted_sql("generations", "gen_key, engine_fp", "substr(gen_key, 1, 2) = '0a'", engine_fp="'other'")} g USING (gen_key)
     GROUP BY 1 HAVING count(DISTINCT g.engine_fp) > 1"""
 )
 def run_engine_conflicts(spark, d):
-    """Runs whose generations come from more than one engine."""
-    g = table(spark, d, "generations", "gen_key", "engine_fp").distinct()
+    """Runs whose generations come from more than one engine; some generations of another are planted."""
+    g = planted(table(spark, d, "generations", "gen_key", "engine_fp").distinct(), "substr(gen_key, 1, 2) = '0a'", engine_fp="'other'")
     return conflicts(table(spark, d, "cells", "run_id", "gen_key").distinct().join(g, "gen_key"), ["run_id"], "engine_fp")
 
 
 @query(
-    """SELECT q.question, count(DISTINCT q.gold) AS n_values FROM (SELECT question, CAST(replace(gold, ',', '') AS DOUBLE) AS gold FROM items) q
-    GROUP BY 1 HAVING count(DISTINCT q.gold) > 1"""
+    f"""SELECT sha256(question) AS question_hash, count(DISTINCT gold) AS n_values FROM (SELECT question, CAST(replace(gold, ',', '') AS DOUBLE) AS gold FROM {_planted_sql("items", "idx, question, gold", "idx % 41 = 0", gold="'-1'")})
+    GROUP BY 1 HAVING count(DISTINCT gold) > 1"""
 )
 def answer_key_conflicts(spark, d):
-    """Questions with more than one gold answer."""
-    rows = table(spark, d, "items", "question", "gold").select("question", canonical_gold(F.col("gold")).alias("gold"))
-    return conflicts(rows, ["question"], "gold")
+    """Questions, by hash, with more than one gold answer; every 41st is planted."""
+    rows = planted(table(spark, d, "items", "idx", "question", "gold"), "idx % 41 = 0", gold="'-1'")
+    return conflicts(rows.select(F.sha2("question", 256).alias("question_hash"), canonical_gold(F.col("gold")).alias("gold")), ["question_hash"], "gold")
+
+
+@query("SELECT sha256(question) AS user_hash, CAST(replace(min(gold), ',', '') AS DOUBLE) AS gold, count(DISTINCT split || '/' || idx) AS n_items FROM items GROUP BY 1")
+def answer_key(spark, d):
+    """The gold answer behind the hash of every question."""
+    rows = table(spark, d, "items", "split", "idx", "question", "gold").select(F.sha2("question", 256).alias("user_hash"), "gold", F.concat_ws("/", "split", "idx").alias("item"))
+    return rows.groupBy("user_hash").agg(canonical_gold(F.min("gold")).cast("double").alias("gold"), F.count_distinct("item").alias("n_items"))
 
 
 @query(
@@ -146,20 +173,27 @@ def split_leaks_exact(spark, d):
     return a.join(b, "question").where("split_a < split_b").select("split_a", "idx_a", "split_b", "idx_b").distinct()
 
 
-@query("SELECT gen_key FROM (SELECT DISTINCT gen_key, decoding_json, seed FROM generations) WHERE CAST(json_extract(decoding_json, '$.temperature') AS DOUBLE) > 0 AND seed IS NULL")
+_UNSEEDED = {"where": "substr(gen_key, 1, 1) = 'f' AND seed IS NOT NULL", "gen_key": "'x' || gen_key", "seed": "CAST(NULL AS BIGINT)"}
+
+
+@query(f"SELECT gen_key FROM (SELECT DISTINCT * FROM {_planted_sql('generations', 'gen_key, decoding_json, seed', **_UNSEEDED)}) WHERE CAST(json_extract(decoding_json, '$.temperature') AS DOUBLE) > 0 AND seed IS NULL")
 def unseeded_sampling(spark, d):
-    rows = table(spark, d, "generations", "gen_key", "decoding_json", "seed").distinct()
+    """Sampled generations without a seed; some are planted."""
+    rows = planted(table(spark, d, "generations", "gen_key", "decoding_json", "seed").withColumn("seed", F.col("seed").cast("bigint")), **_UNSEEDED).distinct()
     return rows.where((F.get_json_object("decoding_json", "$.temperature").cast("double") > 0) & F.col("seed").isNull()).select("gen_key")
 
 
+_SWAPPED = {"where": "substr(gen_key, 1, 1) = '0'", "decoding_id": "CASE WHEN decoding_id = 'greedy' THEN 't02' ELSE 'greedy' END"}
+
+
 @query(
-    f"""SELECT DISTINCT c.gen_key, c.decoding_id, json_extract_string(g.decoding_json, '$.id') AS generated_as FROM {C} c JOIN {G} g USING (gen_key)
+    f"""SELECT DISTINCT c.gen_key, c.decoding_id, json_extract_string(g.decoding_json, '$.id') AS generated_as FROM {_planted_sql("cells", "gen_key, decoding_id", **_SWAPPED)} c JOIN {G} g USING (gen_key)
     WHERE c.decoding_id <> json_extract_string(g.decoding_json, '$.id')"""
 )
 def decoding_mismatches(spark, d):
-    """Cells whose decoding isn't the one their output was generated with."""
+    """Cells whose decoding isn't the one their output was generated with; a sixteenth is planted."""
     g = generations(spark, d, "decoding_json").select("gen_key", F.get_json_object("decoding_json", "$.id").alias("generated_as"))
-    c = table(spark, d, "cells", "gen_key", "decoding_id").distinct()
+    c = planted(table(spark, d, "cells", "gen_key", "decoding_id").distinct(), **_SWAPPED).distinct()
     return c.join(g, "gen_key").where("decoding_id <> generated_as").select("gen_key", "decoding_id", "generated_as")
 
 
@@ -248,18 +282,24 @@ def ledger_totals(spark, d):
 
 
 @query(
-    """SELECT stage, count(*) AS n_entries, sum(completion_tokens) / sum(wall_s) AS tokens_per_s, sum(completion_tokens) / CAST(sum(n_executed) AS DOUBLE) AS tokens_per_request
-    FROM (SELECT DISTINCT * FROM ledger) WHERE completion_tokens IS NOT NULL AND wall_s > 0 AND n_executed > 0 GROUP BY 1"""
+    """SELECT stage, count(*) AS n_entries, sum(completion_tokens) / sum(wall_s) AS tokens_per_s, CASE WHEN bool_and(n_executed IS NOT NULL) THEN sum(completion_tokens) / CAST(sum(n_executed) AS DOUBLE) END AS tokens_per_request
+    FROM (SELECT DISTINCT * FROM ledger) WHERE completion_tokens IS NOT NULL AND wall_s > 0 AND (n_executed IS NULL OR n_executed > 0) GROUP BY 1"""
 )
 def ledger_calibration(spark, d):
-    """Measured throughput and completion length by stage."""
-    rows = table(spark, d, "ledger").distinct().where("completion_tokens IS NOT NULL AND wall_s > 0 AND n_executed > 0")
-    return rows.groupBy("stage").agg(F.count(F.lit(1)).alias("n_entries"), (F.sum("completion_tokens") / F.sum("wall_s")).alias("tokens_per_s"), (F.sum("completion_tokens") / F.sum("n_executed").cast("double")).alias("tokens_per_request"))
+    """Measured throughput and completion length by stage; the length is null where an entry doesn't tell what it executed."""
+    rows = table(spark, d, "ledger").distinct().where("completion_tokens IS NOT NULL AND wall_s > 0 AND (n_executed IS NULL OR n_executed > 0)")
+    length = F.when(F.bool_and(F.col("n_executed").isNotNull()), F.sum("completion_tokens") / F.sum("n_executed").cast("double"))
+    return rows.groupBy("stage").agg(F.count(F.lit(1)).alias("n_entries"), (F.sum("completion_tokens") / F.sum("wall_s")).alias("tokens_per_s"), length.alias("tokens_per_request"))
+
+
+_MISCOUNTED = {"where": "id % 19 = 0", "n_executed": "n_executed + 1"}
 
 
-@query("SELECT id FROM (SELECT DISTINCT * FROM ledger) WHERE n_requested <> n_executed + n_cache_hits")
+@query(f"SELECT DISTINCT id FROM {_planted_sql('ledger', 'id, n_requested, n_executed, n_cache_hits', **_MISCOUNTED)} WHERE n_requested <> n_executed + n_cache_hits")
 def ledger_violations(spark, d):
-    return table(spark, d, "ledger").distinct().where("n_requested <> n_executed + n_cache_hits").select("id")
+    """Entries whose requests aren't executed ones and hits; every 19th is planted."""
+    rows = planted(table(spark, d, "ledger", "id", "n_requested", "n_executed", "n_cache_hits"), **_MISCOUNTED)
+    return rows.where("n_requested <> n_executed + n_cache_hits").select("id").distinct()
 
 
 @query(

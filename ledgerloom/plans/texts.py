@@ -24,15 +24,21 @@ def prompt_normal_forms(spark, d):
     return _prompts(spark, d).select("prompt_hash", normal_form(F.col("text")).alias("normal"))
 
 
-@query(f"SELECT normal, count(*) AS n, min(prompt_hash) AS first FROM (SELECT DISTINCT prompt_hash, {_NORMAL} AS normal FROM prompts) GROUP BY 1 HAVING count(*) > 1")
+_SHOUTED = "substr(prompt_hash, 1, 1) = '0'"
+_COPIED = f"(SELECT DISTINCT prompt_hash, text FROM prompts UNION SELECT reverse(prompt_hash), upper(text) || '!' FROM prompts WHERE {_SHOUTED})"
+
+
+@query(f"SELECT sha256({_NORMAL}) AS normal_hash, count(*) AS n, min(prompt_hash) AS first FROM {_COPIED} GROUP BY 1 HAVING count(*) > 1")
 def prompt_duplicates(spark, d):
-    """Prompts that are equal in normal form; grouped by a hash, so that texts aren't shuffled as keys."""
-    rows = _prompts(spark, d).select("prompt_hash", normal_form(F.col("text")).alias("normal"))
-    return rows.groupBy(F.sha2("normal", 256).alias("h")).agg(F.min("normal").alias("normal"), F.count(F.lit(1)).alias("n"), F.min("prompt_hash").alias("first")).where("n > 1").drop("h")
+    """Prompts that are equal in normal form, by its hash; copies in capitals are planted."""
+    p = _prompts(spark, d)
+    copies = p.where(_SHOUTED).select(F.reverse("prompt_hash").alias("prompt_hash"), F.concat(F.upper("text"), F.lit("!")).alias("text"))
+    rows = p.unionByName(copies).select("prompt_hash", F.sha2(normal_form(F.col("text")), 256).alias("normal_hash"))
+    return rows.groupBy("normal_hash").agg(F.count(F.lit(1)).alias("n"), F.min("prompt_hash").alias("first")).where("n > 1")
 
 
 # numbers that stand alone: whole runs of word characters, points and commas, without points and commas at their end
-_ALONE = r"""SELECT DISTINCT prompt_hash, TRY_CAST(replace(w, ',', '') AS DECIMAL(38, 9)) AS v FROM (SELECT prompt_hash, rtrim(unnest(regexp_extract_all(text, '[\p{L}\p{N}_.,]+')), '.,') AS w FROM prompts)
+_ALONE = r"""SELECT DISTINCT prompt_hash, TRY_CAST(replace(w, ',', '') AS DECIMAL(38, 9)) AS v FROM (SELECT prompt_hash, rtrim(unnest(regexp_extract_all(text, '[\p{L}\p{N}_.,]+')), '.,') AS w FROM (SELECT prompt_hash, text FROM prompts UNION ALL SELECT prompt_hash, text || ' ' || (SELECT max(gold) FROM items WHERE length(gold) >= 3) FROM prompts WHERE substr(prompt_hash, 1, 1) = '1'))
     WHERE regexp_full_match(w, '\d{1,3}(,\d{3})+(\.\d+)?|\d+(\.\d+)?')"""
 _GOLDS = r"""SELECT DISTINCT regexp_replace(CAST(v AS VARCHAR), '\.?0+$', '') AS gold, v FROM (SELECT TRY_CAST(replace(replace(gold, ',', ''), ' ', '') AS DECIMAL(38, 9)) AS v FROM items)
     WHERE length(regexp_replace(regexp_replace(CAST(v AS VARCHAR), '\.?0+$', ''), '\D', '', 'g')) >= 3"""
@@ -57,8 +63,10 @@ def prompt_violations(spark, d):
 
 @query(_LEAKS)
 def prompt_gold_leaks(spark, d):
-    """Prompts that hold a gold answer of three digits or more as a number of its own."""
-    p = _prompts(spark, d).select("prompt_hash", F.explode(numbers_in(F.col("text"))).alias("number"))
+    """Prompts that hold a gold answer of three digits or more as a number of its own; one is planted into those whose hash begins with 1."""
+    most = table(spark, d, "items", "gold").where("length(gold) >= 3").agg(F.max("gold").alias("planted"))  # one row
+    texts = _prompts(spark, d).crossJoin(F.broadcast(most)).withColumn("text", F.when(F.col("prompt_hash").startswith("1") & F.col("planted").isNotNull(), F.concat_ws(" ", "text", "planted")).otherwise(F.col("text")))
+    p = texts.select("prompt_hash", F.explode(numbers_in(F.col("text"))).alias("number"))
     gold = table(spark, d, "items", "gold").select(canonical_gold(F.col("gold")).alias("number")).where(F.length(F.regexp_replace("number", r"\D", "")) >= 3).distinct()
     return p.withColumn("number", canonical_decimal(F.col("number"))).join(gold, "number", "left_semi").select("prompt_hash", F.col("number").alias("gold")).distinct()
 
