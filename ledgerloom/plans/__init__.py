@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("store", "pairs", "policies", "texts", "inference", "planner", "streams", "cube")
+MODULES = ("store", "pairs", "policies", "texts", "inference", "planner", "streams", "cube", "synthetic")
 
 
 def load() -> None:
