@@ -52,6 +52,9 @@ _STATE_DDL = "gen_key string, source string, finish string, state string, kind s
 
 def is_empty(text: str | None) -> bool:
     """Whether a text shows nothing, or nothing but placeholders, labels without an answer and empty marks, however often."""
+    first = _FIRST.match(text or "")
+    if first and first[1].lower() not in _BEGINNINGS:
+        return False  # most texts: their first word begins no placeholder
     seen = visible(text)
     if seen.count("{") > seen.count("}") or seen.endswith("\\["):
         return False  # a mark that breaks off
@@ -68,6 +71,9 @@ def is_empty(text: str | None) -> bool:
 
 
 _LONGEST = max(map(len, PLACEHOLDERS | LABELS))
+_BEGINNINGS = frozenset(w[:i] for w in PLACEHOLDERS | LABELS for i in range(1, len(w) + 1))
+#: The first word outside marks; possessive, so that no mark is read in parts.
+_FIRST = re.compile(r"(?>\s+|<[^<>]*>|\\(?:boxed|fbox|text|mathrm|mbox)\s*(?=\{)|[\W_])*+([^\W_]+)")
 
 
 def judge(question: str | None, question_language: str | None, text: str | None) -> tuple[str, str, bool]:

@@ -18,6 +18,17 @@ c AS (SELECT a.prompt_hash AS hash_a, b.prompt_hash AS hash_b, count(*) AS c FRO
 SELECT hash_a, hash_b FROM c JOIN n x ON x.prompt_hash = hash_a JOIN n y ON y.prompt_hash = hash_b WHERE 2 * c >= x.n + y.n - c
 """
 
+_P1_SIMILAR = P1[: P1.index("SELECT hash_a, hash_b FROM c")].replace("WITH s AS", "WITH RECURSIVE s AS", 1)
+P1_GROUPS = (
+    _P1_SIMILAR
+    + """, q AS (SELECT hash_a, hash_b, c = x.n AND c = y.n AS same FROM c JOIN n x ON x.prompt_hash = hash_a JOIN n y ON y.prompt_hash = hash_b WHERE 2 * c >= x.n + y.n - c),
+e AS (SELECT hash_a AS x, hash_b AS y, same FROM q UNION ALL SELECT hash_b, hash_a, same FROM q), p AS (SELECT DISTINCT prompt_hash FROM prompts),
+cl AS (SELECT prompt_hash, least(prompt_hash, coalesce(min(y) FILTER (same), prompt_hash)) AS class_first FROM p LEFT JOIN e ON x = prompt_hash GROUP BY 1),
+ln AS (SELECT p.prompt_hash, count(DISTINCT k.class_first) FILTER (NOT same) AS n_links FROM p LEFT JOIN e ON x = p.prompt_hash LEFT JOIN cl k ON k.prompt_hash = y GROUP BY 1),
+r AS (SELECT prompt_hash AS x, prompt_hash AS g FROM p UNION SELECT e.y, r.g FROM r JOIN e ON e.x = r.x), gr AS (SELECT x AS prompt_hash, min(g) AS group_first FROM r GROUP BY 1)
+SELECT prompt_hash, class_first, n_links, group_first FROM cl JOIN ln USING (prompt_hash) JOIN gr USING (prompt_hash)"""
+)
+
 _P4_PART = """
 {name} AS (
   SELECT a.split AS split_a, a.idx AS idx_a, b.split AS split_b, b.idx AS idx_b, count(*) AS c
@@ -58,4 +69,4 @@ SELECT split, idx, source, count(DISTINCT doc_id) AS n_documents FROM leaks JOIN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p4_found": P4, "p4_report": P4_REPORT, "p5_found": P5, "p5_leaked_items": P5_ITEMS}
+    return {"p1_found": P1, "p1_groups": P1_GROUPS, "p4_found": P4, "p4_report": P4_REPORT, "p5_found": P5, "p5_leaked_items": P5_ITEMS}

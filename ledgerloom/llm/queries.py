@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.lineage import cut
 from ledgerloom.llm import defects, leakage, mixing, mojibake, neardup, overlap, setjoin, truncation
 from ledgerloom.llm.oracles import oracle_sql
+from ledgerloom.operators.skew import hot_keys, salted_join
 from ledgerloom.sources.tables import table
 
 __all__ = ["oracle_sql", "queries"]
@@ -22,9 +23,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row per prompt: its class, the number of similar classes, and its group of linked prompts."""
+    """One row per prompt: the first prompt of its class of equal sets, the number of similar classes, and the first prompt of its group of linked ones."""
     members, links = neardup.near_duplicates(table(spark, d, "prompts"), "prompt_hash", "text", 3, Fraction(1, 2))
-    return neardup.with_the_rest(neardup.groups(members, cut(links)), table(spark, d, "prompts", "prompt_hash"), "prompt_hash").withColumnRenamed("key", "prompt_hash")
+    every = cut(neardup.with_the_rest(neardup.groups(members, cut(links)), table(spark, d, "prompts", "prompt_hash"), "prompt_hash"))
+    out = every
+    for name in ("class", "group"):
+        first = every.groupBy(f"{name}_id").agg(F.min("key").alias(f"{name}_first"))
+        out = salted_join(out, first, f"{name}_id", F.col("key"), "inner", hot=hot_keys(every, f"{name}_id"))
+    return out.select(F.col("key").alias("prompt_hash"), "class_first", "n_links", "group_first")
 
 
 def p1_orders(spark: SparkSession, d: str) -> DataFrame:
