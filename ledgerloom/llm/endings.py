@@ -58,7 +58,7 @@ KINDS = {
     "said": -2.0,  # ... without its stop, the result being told twice or without steps
     "said_closing": -12.0,  # ... and a remark without a stop
     "said_single": 8.0,  # ... after a result told once in mid calculation
-    "said_once": -0.5,  # ... without its stop, told once
+    "said_once": 5.0,  # ... without its stop, told once, in mid calculation
     "said_prefix": 8.0,  # ... without its stop, its number none of those before it
     "said_steps": 20.0,
     "said_again": 20.0,
@@ -68,7 +68,7 @@ KINDS = {
     "inside": 20.0,  # no result, ends inside a sentence
 }
 #: Kinds of ends at which a result is stated.
-TOLD = frozenset(("bare", "mark", "mark_remark", "mark_closing", "mark_clause", "said_stop", "said", "said_once", "said_closing", "restated"))
+TOLD = frozenset(("bare", "mark", "mark_remark", "mark_closing", "mark_clause", "said_stop", "said", "said_closing", "restated"))
 
 
 @dataclass(frozen=True)

@@ -22,8 +22,9 @@ lost in transfer, and complete.  A value is cut if its log-odds,
     log posterior odds of its length + log ratio of its end + log ratio of its finish reason,
 
 are positive.  Nothing is clipped.  An end that is a cut or none by what the
-words mean is rated beyond the reach of a length; a statement of the whole result
-that lacks its stop, or a remark that goes on from it, is for the length to decide.
+words mean is rated beyond the reach of a length; a result told twice whose
+last stop is missing, or a clause that goes on from a mark, is for the length to
+decide.
 
 Only histograms reach the fits: at most one row for each distinct length of a
 source, and one for each kind, finish reason and whole percentage of posterior.

@@ -253,12 +253,13 @@ def test_refusals(text, no):
 
 
 def test_lengths_decide_what_the_end_leaves_open():
-    """A whole result without its stop is complete, unless many values have just its length."""
-    counts = [("said_once", "stop", "field", 0.9, 30.0), ("inside", "stop", "field", 0.9, 270.0), ("said_once", "stop", "none", 0.0, 30.0), ("mark", "stop", "none", 0.0, 9000.0), ("inside", "stop", "none", 0.0, 100.0), ("mark", "limit", "token", 0.97, 50.0), ("inside", "limit", "token", 0.97, 150.0)]
+    """A clause that goes on from a mark is complete, unless many values have just its length."""
+    counts = [("mark_clause", "stop", "field", 0.9, 30.0), ("inside", "stop", "field", 0.9, 270.0), ("mark_clause", "stop", "none", 0.0, 30.0), ("mark", "stop", "none", 0.0, 9000.0), ("inside", "stop", "none", 0.0, 100.0), ("mark", "limit", "token", 0.97, 50.0), ("inside", "limit", "token", 0.97, 150.0)]
     reasons, shares = truncation.end_weights(counts)
     odds = lambda kind, reason, limit, p: KINDS[kind] + reasons[reason, limit] + math.log(shares[limit, p] / (1 - shares[limit, p]))
-    assert odds("said_once", "stop", "field", 0.9) > 0 > odds("said_once", "stop", "none", 0.0)
-    assert odds("mark", "limit", "token", 0.97) < 0 < odds("inside", "stop", "none", 0.0)
+    assert odds("mark_clause", "stop", "field", 0.9) > 0 > odds("mark_clause", "stop", "none", 0.0)
+    assert odds("said", "limit", "token", 0.97) > 0 > odds("said", "stop", "none", 0.0)
+    assert odds("mark", "limit", "token", 0.97) < 0 < odds("said_once", "stop", "none", 0.0)
     assert 0.6 < shares["token", 0.97] < 0.85
     assert truncation.end_weights([])[1]["none", 0.0] == pytest.approx(truncation.LOST)
 
