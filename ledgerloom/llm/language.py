@@ -11,11 +11,11 @@ from collections import Counter
 
 # Frequent function and connecting words by language.
 STOPWORDS = {
-    "en": "the of and to in is we you that it for on with as are this was be have from or by not what which there then here has can so at an do does did will would how many much each all more than they he she let us our first next if therefore must means answer result now where while his her its their only when about no nothing",
+    "en": "the of and to in is we you that it for on with as are this was be have from or by not what which there then here has can so at an do does did will would how many much each all more than they he she let us our first next if therefore must means answer result now where while his her its their only when about no nothing plus equals together again these",
     "de": "der die das und ist in zu den dem des wir sie ein eine einen einem einer nicht von mit auf für im sich es auch als an nach wie aus bei also dann dass sind hat haben wird werden noch nur über um am bis durch zum zur ich er man uns damit so wenn aber wurde kann ergibt ergebnis antwort gilt pro jede jeden jeder wie viele schritt zuerst",
     "fr": "le la les de des du et est un une en que qui dans pour pas sur au aux avec ce cette ces nous vous il elle ils on se sa son ses par plus ne ou où donc ainsi cela ça sont a à été être avoir fait puis ensuite comme chaque tout tous combien quelle quel résultat réponse il y",
-    "es": "el la los las de del y en que es un una por con para se no al lo su sus como más pero o este esta estos son ha fue ser está hay nos le les cada todo todos cuántos cuántas cuánto qué cuál entonces luego así ahora primero resultado respuesta obtenemos tenemos eso sobre muy ya también",
-    "it": "il lo la i gli le di del della dei delle e è in che un una per con non si da al alla nel nella sono ha come più anche ma o questo questa ci quindi poi allora ogni abbiamo risultato risposta dal dalla ora prima quanti quante quanto",
+    "es": "el la los las de del y en que es un una por con para se no al lo su sus como más pero o este esta estos son ha fue ser está hay nos le les cada todo todos cuántos cuántas cuánto qué cuál entonces luego así ahora primero resultado respuesta obtenemos tenemos eso sobre muy ya también a hace desde cuando hasta entre tiene hay así donde sin vamos",
+    "it": "a il lo la i gli le di del della dei delle e è in che un una per con non si da al alla nel nella sono ha come più anche ma o questo questa ci quindi poi allora ogni abbiamo risultato risposta dal dalla ora prima quanti quante quanto",
     "pt": "o a os as de do da dos das e em no na nos nas que é um uma por para com não se ao à mais como mas ou este esta são foi ser está há ele ela seu sua então depois assim cada resultado resposta temos obtemos quantos quantas quanto você também já muito",
     "nl": "de het een en van in is dat op te zijn met voor niet aan er om ook als dan maar bij uit nog naar door over wij we hij zij ze dus heeft hebben wordt elke per hoeveel antwoord resultaat eerst",
     "pl": "i w na z do się nie to jest że o jak po co za od przez dla są ale czy ma więc czyli każdy każda ile wynik odpowiedź mamy potem najpierw zatem",
