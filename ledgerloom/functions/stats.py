@@ -75,3 +75,8 @@ def mcnemar_table(spark: SparkSession, most: int) -> DataFrame:
     """(n, k, tail) for all k <= n <= most."""
     grid = spark.range(1, most + 1).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("id"))).alias("k"))
     return grid.withColumn("tail", mcnemar_tail(F.col("k"), F.col("n") - F.col("k")))
+
+
+def mean_spread_text(values: Column, scale: float = 100.0, digits: int = 1) -> Column:
+    """"mean ± spread" of an aggregate as text; a dash without values."""
+    return F.when(F.count(values) > 0, F.format_string(f"%.{digits}f ± %.{digits}f", F.avg(values) * scale, spread(values) * scale)).otherwise(F.lit("—"))

@@ -175,7 +175,7 @@ _MEANS = f"""WITH {SCORES}, rr AS (SELECT * FROM sc WHERE draw_kind = 'round'),
 @query(duck(_MEANS) + " SELECT env, round(max(p), 9) AS point, round(quantile_cont(mean, 0.025), 9) AS lo, round(quantile_cont(mean, 0.975), 9) AS hi FROM bs JOIN (SELECT env, avg(x) AS p FROM m GROUP BY 1) USING (env) GROUP BY env")
 def bootstrap_inflation(spark, d):
     """Inflation of a stored round-0 baseline per environment, with percentile intervals over items."""
-    return bootstrap(item_means(spark, d), REPLICATES, "env")
+    return bootstrap(cut(item_means(spark, d)), REPLICATES, "env")
 
 
 _DIFFS = duck(

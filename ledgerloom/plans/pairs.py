@@ -36,13 +36,16 @@ def _mask(extractor: Column) -> Column:
     return F.when(extractor == "v1", F.col("v1")).otherwise(F.col("v2"))
 
 
-def ground_truth(cells: DataFrame) -> DataFrame:
-    """(seed, decoding, slot, draw, extractor, acc): a greedy cell itself, for sampling the mean of the ground-truth draws whatever the round."""
+def ground_truth(cells: DataFrame, same_draw: bool = False) -> DataFrame:
+    """(seed, decoding, slot, draw, extractor, acc): a greedy cell itself, for sampling the mean of the ground-truth draws whatever the round.
+
+    With ``same_draw`` sampled cells are their own truth as well, which couples decision and truth.
+    """
     long = cells.select("*", F.explode(F.array(F.lit("v1"), F.lit("v2"))).alias("extractor"))
     acc = lambda df, *by: df.groupBy(*by).agg((F.sum(F.bit_count(_mask(F.col("extractor")))) / F.sum(F.bit_count("p"))).alias("acc"))
-    greedy = acc(long.where("decoding = 'greedy' AND draw_kind = 'round'"), "seed", "decoding", "slot", "draw", "extractor")
+    greedy = acc(long.where("draw_kind = 'round'" if same_draw else "decoding = 'greedy' AND draw_kind = 'round'"), "seed", "decoding", "slot", "draw", "extractor")
     drawn = acc(long.where("draw_kind = 'gt'"), "seed", "decoding", "slot", "extractor").withColumn("draw", F.lit(-1))
-    return greedy.unionByName(drawn)
+    return greedy if same_draw else greedy.unionByName(drawn)
 
 
 ROLES = ("cand", *REFS)
@@ -52,7 +55,7 @@ class MissingCell(LookupError):
     """A pair needs a cell that isn't complete."""
 
 
-def _counted(spark: SparkSession, d: str, mode: str, rows: DataFrame, truth: DataFrame) -> DataFrame:
+def _counted(spark: SparkSession, d: str, mode: str, rows: DataFrame, truth: DataFrame, same_draw: bool = False) -> DataFrame:
     """Every pair of the spine with its counts, the items each of its cells has (n_<role>), and ground truth; counts are null without cells."""
     cells = packed(rows)
     rounds = cells.where("draw_kind = 'round'").drop("draw_kind")
@@ -84,8 +87,9 @@ def _counted(spark: SparkSession, d: str, mode: str, rows: DataFrame, truth: Dat
         *[ones(F.col("cand").bitwiseAND(F.bitwise_not(k))).alias(f"w_{k}") for k in REFS],
         *[ones(F.bitwise_not("cand").bitwiseAND(F.col(k))).alias(f"l_{k}") for k in REFS],
     )
-    gt = ground_truth(cells if truth is rows else packed(truth))
-    out = pairs.join(counts, ["seed", "env", "j", "i"], "left").withColumn("_at", F.when(F.col("d_c") == "greedy", F.col("j")).otherwise(F.lit(-1))).withColumn("cand_slot", F.col("j"))
+    gt = ground_truth(cells if truth is rows else packed(truth), same_draw)
+    at = F.col("j") if same_draw else F.when(F.col("d_c") == "greedy", F.col("j")).otherwise(F.lit(-1))
+    out = pairs.join(counts, ["seed", "env", "j", "i"], "left").withColumn("_at", at).withColumn("cand_slot", F.col("j"))
     for name, slot in (("gt_cand", "cand_slot"), ("gt_cur", "cur"), ("gt_ref", "ref")):
         found = gt.select("seed", F.col("decoding").alias("d_c"), F.col("slot").alias(slot), F.col("draw").alias("_at"), F.col("extractor").alias("x_c"), F.col("acc").alias(name))
         out = out.join(found, ["seed", "d_c", slot, "_at", "x_c"], "left")
@@ -113,8 +117,8 @@ def skipped_pairs(spark: SparkSession, d: str, rows: DataFrame, mode: str = "inc
     return judged.where("reason IS NOT NULL").select("seed", "env", "j", "i", "reason")
 
 
-def all_pairs(spark: SparkSession, d: str, mode: str = "incumbent", rule: str = RULE, half: bool = False, rows: DataFrame | None = None, on_missing: str = "skip") -> DataFrame:
-    """One row per pair; ``half`` decides on the first half of the items and takes ground truth from the second.
+def all_pairs(spark: SparkSession, d: str, mode: str = "incumbent", rule: str = RULE, half: bool = False, rows: DataFrame | None = None, on_missing: str = "skip", same_draw: bool = False) -> DataFrame:
+    """One row per pair; ``half`` decides on the first half of the items and takes ground truth from the second, ``same_draw`` takes it from the cells compared.
 
     ``rows`` are cells item by item (seed, decoding, slot, draw_kind, draw, item,
     physical, truncated, generation, v1, v2), by default the synthetic matrix.  A pair
@@ -124,7 +128,7 @@ def all_pairs(spark: SparkSession, d: str, mode: str = "incumbent", rule: str =
     rows = scores(spark, d) if rows is None else rows
     decide_on, truth_on = _halves(rows, half)
     n_items = F.broadcast(decide_on.agg(F.count_distinct("item").alias("n_items")))  # one row
-    judged = _counted(spark, d, mode, decide_on, truth_on).crossJoin(n_items).withColumn("reason", _reason(F.col("n_items")))
+    judged = _counted(spark, d, mode, decide_on, truth_on, same_draw).crossJoin(n_items).withColumn("reason", _reason(F.col("n_items")))
     if on_missing == "raise" and (bad := judged.where("reason IS NOT NULL").select("seed", "env", "j", "i", "reason").first()) is not None:
         raise MissingCell(str(bad.asDict()))
     out = judged.where("reason IS NULL").withColumn("n", F.col("n_cand"))
@@ -178,15 +182,16 @@ def summary(pairs: DataFrame, *by: str) -> DataFrame:
     return pooled.alias("p").join(seeds.alias("s"), on).select("p.*", "s.inflation_seed_mean", "s.inflation_seed_sd")
 
 
-def _pairs_sql(mode: str = "incumbent", half: bool = False) -> str:
+def _pairs_sql(mode: str = "incumbent", half: bool = False, same_draw: bool = False) -> str:
     keep, truth = ("item < m", "item >= m") if half else ("true", "true")
     pick = lambda a, x: f"CASE WHEN {x} = 'v1' THEN {a}.v1 ELSE {a}.v2 END"
     on = lambda a, dec, slot, draw: f"JOIN dd {a} ON {a}.seed = sp.seed AND {a}.decoding = {dec} AND {a}.slot = {slot} AND {a}.draw = {draw}"
-    gt = lambda slot: f"(SELECT acc FROM gt WHERE gt.seed = q.seed AND gt.decoding = q.d_c AND gt.slot = q.{slot} AND gt.extractor = q.x_c AND gt.draw = CASE WHEN q.d_c = 'greedy' THEN q.j ELSE -1 END)"
+    gt = lambda slot: f"(SELECT acc FROM gt WHERE gt.seed = q.seed AND gt.decoding = q.d_c AND gt.slot = q.{slot} AND gt.extractor = q.x_c AND gt.draw = {'q.j' if same_draw else "CASE WHEN q.d_c = 'greedy' THEN q.j ELSE -1 END"})"
+    of = "draw_kind = 'round'" if same_draw else "(draw_kind = 'gt' OR decoding = 'greedy')"
     return f"""WITH {SCORES},
     mm AS (SELECT (max(item) + 1) // 2 AS m FROM it),
     dd AS (SELECT sc.* FROM sc, mm WHERE draw_kind = 'round' AND {keep}),
-    gl AS (SELECT seed, decoding, slot, CASE WHEN draw_kind = 'gt' THEN -1 ELSE draw END AS draw, v1, v2 FROM sc, mm WHERE (draw_kind = 'gt' OR decoding = 'greedy') AND {truth}),
+    gl AS (SELECT seed, decoding, slot, CASE WHEN draw_kind = 'gt' THEN -1 ELSE draw END AS draw, v1, v2 FROM sc, mm WHERE {of} AND {truth}),
     gt AS (SELECT seed, decoding, slot, draw, 'v1' AS extractor, sum(v1) / count(*) AS acc FROM gl GROUP BY ALL UNION ALL SELECT seed, decoding, slot, draw, 'v2', sum(v2) / count(*) FROM gl GROUP BY ALL),
     sp AS (SELECT a.seed, env, decoding AS d_c, extractor AS x_c, a.t AS j, b.t AS i, {"b.t" if mode == "chain" else "b.inc_slot"} AS ref, a.inc_slot AS cur, a.t AS cand_slot
       FROM tr a JOIN tr b ON a.seed = b.seed AND b.t <= a.t AND a.t > 0 CROSS JOIN envs),
@@ -227,6 +232,24 @@ def all_pairs_split_half(spark, d):
     return _round(all_pairs(spark, d, half=True))
 
 
+@query(duck(_pairs_sql(same_draw=True)) + _PAIRS)
+def all_pairs_same_draw(spark, d):
+    return _round(all_pairs(spark, d, same_draw=True))
+
+
+def filter_pairs(pairs: DataFrame, envs: list[str] | None = None, ages: list[int] | None = None, seeds: list[int] | None = None) -> DataFrame:
+    """The pairs of some environments, ages and seeds; None takes all."""
+    for column, values in (("env", envs), ("age", ages), ("seed", seeds)):
+        if values is not None:
+            pairs = pairs.where(F.col(column).isin(*values)) if values else pairs.limit(0)
+    return pairs
+
+
+@query(duck(_pairs_sql()) + " SELECT seed, env, j, i, age, round(inflation, 9) AS inflation FROM pairs WHERE env IN ('E2', 'E4') AND age IN (1, 3) AND seed IN (0, 2)")
+def pairs_filtered(spark, d):
+    return _round(filter_pairs(all_pairs(spark, d), ["E2", "E4"], [1, 3], [0, 2]).select("seed", "env", "j", "i", "age", "inflation"))
+
+
 _Z = 1.959963984540054
 _W = "round(greatest(0, least(1, (far + {z2} / (2 * n_accepted) {s} {z} * sqrt(far * (1 - far) / n_accepted + {z2} / (4.0 * n_accepted * n_accepted))) / (1 + {z2} / n_accepted))), 9)"
 

@@ -9,7 +9,7 @@ from ledgerloom.functions.answers import canonical_decimal, canonical_gold, extr
 from ledgerloom.functions.hashing import canonical_object, content_key, derive_seed, json_text
 from ledgerloom.functions.lenient import canonical, exact, extract_lenient, last_number, lenient
 from ledgerloom.functions.prompting import fill, normal_form, numbers_in, shorten, tagged, violations
-from ledgerloom.functions.stats import accepts, mcnemar_exact, mcnemar_tail, spread, wilson
+from ledgerloom.functions.stats import accepts, mcnemar_exact, mcnemar_tail, mean_spread_text, spread, wilson
 from ledgerloom.plans.policies import dense, parse_policy
 
 # text, strict value, lenient value, lenient stage
@@ -120,6 +120,11 @@ def test_statistics(spark):
         accepts("other", F.lit(1), F.lit(1), F.lit(1))
 
 
+def test_mean_spread_text(spark):
+    text = lambda v: spark.createDataFrame([(x,) for x in v], "x double").agg(mean_spread_text(F.col("x")).alias("s")).first().s
+    assert text([0.71, 0.73]) == "72.0 ± 1.4" and text([0.5]) == "50.0 ± 0.0" and text([None]) == "—"
+
+
 def test_prompts(spark):
     row = spark.range(1).select(
         tagged(F.lit("<prompt>a</prompt> x <Prompt> b </PROMPT>"), "prompt").alias("a"),
