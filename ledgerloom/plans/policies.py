@@ -149,6 +149,8 @@ def replay(spark: SparkSession, cells: DataFrame, named: tuple, policies: tuple)
     out = flat.withColumn("false_accept", F.col("accepted") & (F.col("gt_cand") <= F.col("gt_inc") + EPS))
     out = out.withColumn("inc_after", F.when(F.col("accepted"), F.col("t")).otherwise(F.col("inc_before")))
     out = out.withColumn("ref_age", F.when(F.col("ref_round") >= 0, F.col("t") - F.col("ref_round")).otherwise(F.lit(-1)))
+    kept = F.col("ref_slot") >= 0
+    out = out.withColumn("ties", F.when(kept, F.col("n") - F.col("wins") - F.col("losses")).otherwise(F.lit(0))).withColumn("ref_env_stale", kept & (F.col("ref_env") != F.col("env")))
     # model calls: the incumbent's and the candidate's evaluation, a proposal, and what refreshing or ground truth takes
     extra = F.when(F.col("policy") == "ORACLE", F.col("n")).when(F.col("refresh").isin("refresh", "fixed_age"), F.col("n")).otherwise(F.lit(0))
     return out.withColumn("calls", (F.lit(1) + 2 * F.col("n") + extra).cast("bigint")).drop("ref_d", "ref_x")
@@ -192,7 +194,7 @@ def _replay_sql(named: tuple) -> str:
         JOIN gt b ON b.seed = y.seed AND b.decoding = y.d AND b.slot = y.inc AND b.x = y.x AND b.draw = CASE WHEN y.d = 'greedy' THEN y.t ELSE -1 END) z)),
     o AS (SELECT schedule, policy, seed, t, env, CASE WHEN kind = 'oracle' THEN -1 ELSE u_slot END AS ref_slot, CASE WHEN kind = 'oracle' THEN -1 ELSE u_round END AS ref_round, CASE WHEN kind = 'oracle' THEN '' ELSE u_env END AS ref_env,
       CASE WHEN kind = 'oracle' THEN 'none' ELSE refresh END AS refresh, CASE WHEN kind = 'oracle' THEN 0 ELSE wins END AS wins, CASE WHEN kind = 'oracle' THEN 0 ELSE losses END AS losses, n, accepted, round(gt_cand, 9) AS gt_cand, round(gt_inc, 9) AS gt_inc, inc_before,
-      accepted AND gt_cand <= gt_inc + 1e-9 AS false_accept, CASE WHEN accepted THEN t ELSE inc_before END AS inc_after, CASE WHEN kind = 'oracle' THEN -1 ELSE t - u_round END AS ref_age,
+      CASE WHEN kind = 'oracle' THEN 0 ELSE n - wins - losses END AS ties, kind <> 'oracle' AND u_env <> env AS ref_env_stale, accepted AND gt_cand <= gt_inc + 1e-9 AS false_accept, CASE WHEN accepted THEN t ELSE inc_before END AS inc_after, CASE WHEN kind = 'oracle' THEN -1 ELSE t - u_round END AS ref_age,
       1 + 2 * n + CASE WHEN kind = 'oracle' OR refresh IN ('refresh', 'fixed_age') THEN n ELSE 0 END AS calls FROM f WHERE t > 0)"""
 
 

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.answers import canonical_decimal, canonical_gold, extract_strict, last_hash_line
-from ledgerloom.functions.hashing import canonical_object, content_key, derive_seed, json_text
+from ledgerloom.functions.hashing import canonical_object, content_key, derive_seed, json_text, normal, normal_quantile, pick, uniform
 from ledgerloom.functions.lenient import canonical, exact, extract_lenient, last_number, lenient
 from ledgerloom.functions.prompting import fill, normal_form, numbers_in, shorten, tagged, violations
 from ledgerloom.functions.stats import accepts, mcnemar_exact, mcnemar_tail, mean_spread_text, spread, wilson
@@ -120,6 +120,19 @@ def test_statistics(spark):
         accepts("other", F.lit(1), F.lit(1), F.lit(1))
 
 
+def test_hash_draws(spark):
+    from statistics import NormalDist
+
+    ps = [1e-12, 1e-6, 0.01, 0.0242, 0.0243, 0.3, 0.5, 0.77, 0.9757, 0.9758, 0.999, 1 - 1e-9]
+    got = [r.q for r in spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p double").orderBy("i").select(normal_quantile(F.col("p")).alias("q")).collect()]
+    assert all(abs(a - NormalDist().inv_cdf(p)) < 1e-6 for a, p in zip(got, ps))
+    rows = spark.range(4000).select(normal(F.col("id").cast("string")).alias("z"), pick(uniform(F.concat(F.lit("u"), F.col("id"))), [("a", 1), ("b", 3), ("c", 0)]).alias("k"))
+    one = rows.agg(F.avg("z").alias("m"), F.stddev("z").alias("s"), F.count_if(F.col("k") == "b").alias("b"), F.count_if(F.col("k") == "c").alias("c")).first()
+    assert abs(one.m) < 0.06 and abs(one.s - 1) < 0.05 and 2850 < one.b < 3150 and one.c == 0
+    with pytest.raises(ValueError):
+        pick(F.lit(0.1), [("a", 0)])
+
+
 def test_mean_spread_text(spark):
     text = lambda v: spark.createDataFrame([(x,) for x in v], "x double").agg(mean_spread_text(F.col("x")).alias("s")).first().s
     assert text([0.71, 0.73]) == "72.0 ± 1.4" and text([0.5]) == "50.0 ± 0.0" and text([None]) == "—"
