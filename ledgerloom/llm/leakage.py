@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.lineage import cut
+from ledgerloom.operators.skew import join_small
 
 _WORDS = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.0  # without length normalisation every whole shingle contributes at least its idf
@@ -349,8 +350,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, fields: tuple[str, str]
     # copies of a bucket's index for every so many of its passages; one row for each bucket
     each = max(1000, block_words // 400 if buckets > 1 else n_words // 400)
     copies = queries.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(each)).cast("int").alias("copies"))
-    queries = queries.join(copies, "bucket").withColumn("salt", F.pmod(F.xxhash64("doc_id", "words"), F.col("copies")).cast("int"))
-    index = index.join(copies, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    copies = cut(copies)
+    queries = join_small(queries, copies, "bucket", F.col("doc_id"), "inner").withColumn("salt", F.pmod(F.xxhash64("doc_id", "words"), F.col("copies")).cast("int"))
+    index = join_small(index, copies, "bucket", F.xxhash64("split", "idx"), "inner").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     names = [f.name for f in _ROUTED]
     rows = index.select(*names).unionByName(queries.select(*names))
     grouped = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("doc_id").isNotNull())  # items first
