@@ -28,6 +28,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -57,18 +58,30 @@ COMMON = frozenset("äöüßÄÖÜéèêëàâáãåçñóòôõíìîïúùûœ
 _QUOTES_OPEN, _QUOTES_CLOSE = "“„«‘‚‹\"'([", "”“’»›\"'"
 
 
-def decode(raw: bytes, encoding: str, lost: str | None = None) -> str | None:
-    """Like a lenient decoder: undefined bytes become C1 controls, or ``lost``; None if there are none and ``lost`` was asked for."""
-    out, any_lost = [], False
-    for byte in raw:
+@lru_cache(maxsize=None)
+def _characters(encoding: str) -> tuple[tuple[str, bool], ...]:
+    """(character, whether it is undefined) of every byte."""
+    out = []
+    for byte in range(256):
         try:
-            c = bytes([byte]).decode(encoding)
+            out.append((bytes([byte]).decode(encoding), False))
         except UnicodeDecodeError:
-            c, any_lost = chr(byte), True
-        if lost is not None and "\x80" <= c <= "\x9f":
-            c, any_lost = lost, True
-        out.append(c)
-    return None if lost is not None and not any_lost else "".join(out)
+            out.append((chr(byte), True))
+    return tuple(out)
+
+
+@lru_cache(maxsize=None)
+def _lenient(encoding: str) -> tuple[str, ...]:
+    return tuple(c for c, _ in _characters(encoding))
+
+
+def decode(raw: bytes, encoding: str, lost: str | None = None) -> str | None:
+    """Like a lenient decoder: undefined bytes become C1 controls, or ``lost``; None if there are none and ``lost`` was asked for."""
+    if lost is None:
+        return "".join(map(_lenient(encoding).__getitem__, raw))
+    found = [_characters(encoding)[byte] for byte in raw]
+    gone = [undefined or "\x80" <= c <= "\x9f" for c, undefined in found]
+    return "".join(lost if g else c for (c, _), g in zip(found, gone)) if any(gone) else None
 
 
 def sequences() -> dict[str, tuple[str, str]]:
@@ -228,7 +241,8 @@ def run_spans(text: str, prefer: str | None = None, inner: str | None = None, sc
         if best is None:
             continue
         end, meant, name = best
-        again = run_spans(meant, inner, None, scripts) if inner else utf8_found(meant)  # garbled twice
+        # garbled twice? a sequence has two characters at least
+        again = [] if len(meant) < 2 else run_spans(meant, inner, None, scripts) if inner else utf8_found(meant)
         if again and sum(x.end - x.start for x in again) * 2 > len(meant):
             meant, name = restored(meant, again), f"{again[0].name}+{name}"
         elif not _known(meant):
