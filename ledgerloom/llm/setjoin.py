@@ -42,9 +42,10 @@ WIDTH = 1 << 21
 #: Postings of a token that one group holds at most, and pairs that are compared at once.
 PIECE, AT_ONCE = 4000, 1_000_000
 
+#: Words of the bitmap, a power of two of them.
 BITS = ("b0", "b1", "b2", "b3")
 _POSTING = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("id", pa.int64()), ("rest", pa.int64()), *[(b, pa.int64()) for b in BITS]])
-_POSTING_DDL = "key long, n int, id long, rest long, b0 long, b1 long, b2 long, b3 long"
+_POSTING_DDL = "key long, n int, id long, rest long, " + ", ".join(f"{b} long" for b in BITS)
 #: Bits of ``rest``: may be the smaller set, may be the larger one, sides of the join; the order and the position follow above.
 SMALL, LARGE, LEFT, RIGHT, ORDER, POSITION = 1, 2, 4, 8, 4, 8
 
@@ -64,9 +65,10 @@ def _flat(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bitmaps(tokens: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """(rows, 4) words: the parity of each set's tokens in 256 buckets."""
-    bucket = (tokens >> 40) & 255  # the low bits are the sketch's
-    odd = (np.bincount(row * 256 + bucket, minlength=rows * 256) & 1).astype(np.uint8).reshape(rows, 256)
+    """(rows, words): the parity of each set's tokens in 64 buckets a word."""
+    width = 64 * len(BITS)
+    bucket = (tokens >> 40) & (width - 1)  # the low bits are the sketch's
+    odd = (np.bincount(row * width + bucket, minlength=rows * width) & 1).astype(np.uint8).reshape(rows, width)
     return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
 
 
