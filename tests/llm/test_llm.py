@@ -387,3 +387,28 @@ def test_found_columns(spark):
         df = queries.queries()[name](spark, D)
         assert df.columns == columns.split() and df.count() == df.distinct().count()
     assert table(spark, D, "items").count() > 0
+
+
+def test_empty_tables(spark, tmp_path):
+    """Every query gives an empty result, or one row for each thing there is, over tables without rows."""
+    for name in ("prompts", "generations", "items", "documents", "mix_plans", "mix_targets"):
+        table(spark, D, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in queries.queries().items():
+        df = query(spark, str(tmp_path))
+        assert df.count() == (3 if name == "p1_orders" else 0), name
+
+
+def test_one_text_in_a_third_of_all_rows(spark):
+    """A hot class, a hot leak: nothing is lost and no pair doubled."""
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    same = say(40)
+    texts = [same if i % 3 == 0 else say(40) for i in range(240)]
+    members, links = neardup.near_duplicates(spark.createDataFrame([(f"{i:04d}", x) for i, x in enumerate(texts)], "k string, t string"), "k", "t", 3, Fraction(1, 2))
+    assert neardup.pairs_of_keys(members, links).count() == neardup.pairs_of_keys(members, links).distinct().count() == 80 * 79 // 2
+    items = spark.createDataFrame([("test", i, same if i % 3 == 0 else say(30), None) for i in range(60)], "split string, idx int, question string, answer_text string")
+    docs = spark.createDataFrame([(i, f"so {same} it is" if i % 3 == 0 else say(50)) for i in range(90)], "doc_id long, text string")
+    got = leakage.leaked_items(docs, items)
+    assert got.count() == 20 * 30 and {r.doc_id % 3 for r in got.collect()} == {0}
+    both = items.unionByName(items.withColumn("split", F.lit("train")))
+    assert overlap.overlaps(both, ["question", "answer_text"], 2, Fraction(3, 5)).where("idx_a % 3 = 0 AND idx_b % 3 = 0").count() == 20 * 20
