@@ -11,9 +11,14 @@ def joined(*parts: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
+def head32(digest: Column) -> Column:
+    """The first 32 bits of a hex digest as a bigint."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+
+
 def hash32(text: Column) -> Column:
     """The first 32 bits of SHA-256 as a bigint."""
-    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint")
+    return head32(F.sha2(text, 256))
 
 
 def derive_seed(*parts: Column) -> Column:

@@ -63,8 +63,6 @@ def sequence_gaps(rows: DataFrame, column: str, step: int, bucket: int = 1_000_0
     return pairs.where(F.col("v") - F.col("p") > step).select(F.col("p").alias("after"), F.col("v").alias("before"), (F.col("v") - F.col("p") - 1).alias("n_missing"))
 
 
-def row_digest(rows: DataFrame, columns: list[str]) -> Column:
-    """32 bits of SHA-256 over a row's columns as text, nulls told from empty texts."""
-    from ledgerloom.functions.hashing import hash32
-
-    return hash32(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns]))
+def row_digest(columns: list[str]) -> Column:
+    """SHA-256 over a row's columns as text, nulls told from empty texts."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns]), 256)

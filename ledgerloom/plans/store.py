@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.answers import canonical_gold, extract_strict, last_hash_line
-from ledgerloom.functions.hashing import canonical_object, content_key, derive_seed, json_text
+from ledgerloom.functions.hashing import canonical_object, content_key, derive_seed, head32, json_text
 from ledgerloom.functions.lenient import extract_lenient
 from ledgerloom.operators.merge import conflicts, first_per_key, insert_ignore, insert_replace, row_digest, sequence_gaps, upsert_if_changed
+from ledgerloom.operators.skew import hot_keys, salted_join
 from ledgerloom.registry import query
 from ledgerloom.sources.tables import table
 
@@ -67,13 +68,16 @@ def slots_with_prompts(spark, d):
 @query(f"SELECT {_KEYS}, c.gen_key, g.model_id, g.finish_reason, length(g.response) AS n_response FROM {C} c JOIN {G} g USING (gen_key)")
 def cells_drilldown(spark, d):
     g = generations(spark, d, "model_id", "finish_reason", "response").withColumn("n_response", F.length("response")).drop("response")
-    return cells(spark, d).join(g, "gen_key").select(*CELL_KEY, "gen_key", "model_id", "finish_reason", "n_response")
+    c = table(spark, d, "cells", "gen_key")
+    rows = salted_join(cells(spark, d), g, "gen_key", F.xxhash64(*CELL_KEY), "inner", hot=hot_keys(c, "gen_key"))
+    return rows.select(*CELL_KEY, "gen_key", "model_id", "finish_reason", "n_response")
 
 
 @query(f"SELECT DISTINCT c.gen_key, i.gold FROM {C} c JOIN {I} i ON i.split = c.split AND i.idx = c.item_idx")
 def cells_gold(spark, d):
-    i = items(spark, d, "gold").withColumnRenamed("idx", "item_idx")
-    return table(spark, d, "cells", "split", "item_idx", "gen_key").distinct().join(i, ["split", "item_idx"]).select("gen_key", "gold").distinct()
+    i = items(spark, d, "gold").select(F.concat_ws("/", "split", "idx").alias("item"), "gold")
+    c = table(spark, d, "cells", "split", "item_idx", "gen_key").select(F.concat_ws("/", "split", "item_idx").alias("item"), "gen_key").distinct()
+    return salted_join(c, i, "item", F.col("gen_key"), "inner").select("gen_key", "gold").distinct()
 
 
 @query(
@@ -167,10 +171,10 @@ def answer_key(spark, d):
 )
 def split_leaks_exact(spark, d):
     """Equal questions in two splits."""
-    rows = table(spark, d, "items", "split", "idx", "question").distinct()
-    a = rows.select("question", F.col("split").alias("split_a"), F.col("idx").alias("idx_a"))
-    b = rows.select("question", F.col("split").alias("split_b"), F.col("idx").alias("idx_b"))
-    return a.join(b, "question").where("split_a < split_b").select("split_a", "idx_a", "split_b", "idx_b").distinct()
+    rows = table(spark, d, "items", "split", "idx", "question").select("split", "idx", F.sha2("question", 256).alias("h")).distinct()
+    a = rows.select("h", F.col("split").alias("split_a"), F.col("idx").alias("idx_a"))
+    b = rows.select("h", F.col("split").alias("split_b"), F.col("idx").alias("idx_b"))
+    return salted_join(a, b, "h", F.xxhash64("split_a", "idx_a"), "inner").where("split_a < split_b").select("split_a", "idx_a", "split_b", "idx_b").distinct()
 
 
 _UNSEEDED = {"where": "substr(gen_key, 1, 1) = 'f' AND seed IS NOT NULL", "gen_key": "'x' || gen_key", "seed": "CAST(NULL AS BIGINT)"}
@@ -263,8 +267,8 @@ def content_digest(spark, d):
     """A digest of each table's rows that doesn't depend on their order, timestamps left out."""
     parts = []
     for name, columns in _DIGESTS.items():
-        rows = table(spark, d, name, *columns).distinct()
-        parts.append(rows.agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("n_rows"), F.sum(row_digest(rows, columns)).alias("digest")))
+        rows = table(spark, d, name, *columns).select(row_digest(columns).alias("h")).distinct()  # digests, not texts, are shuffled
+        parts.append(rows.agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("n_rows"), F.sum(head32(F.col("h"))).alias("digest")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -328,7 +332,7 @@ def audit_identity(spark, d):
 def cell_completeness(spark, d):
     """Each cell group: its items, whether any was physical, and the share cut by the token limit."""
     g = table(spark, d, "generations", "gen_key", "finish_reason").groupBy("gen_key").agg(F.min("finish_reason").alias("finish_reason"))
-    rows = cells(spark, d).join(g, "gen_key")
+    rows = salted_join(cells(spark, d), g, "gen_key", F.xxhash64(*CELL_KEY), "inner", hot=hot_keys(table(spark, d, "cells", "gen_key"), "gen_key"))
     limited = F.when(F.lower("finish_reason").isin("length", "max_tokens"), 1.0).otherwise(0.0)
     return rows.groupBy(*CELL_KEY[:-1]).agg(F.count(F.lit(1)).alias("n_items"), F.bool_or("physical").alias("physical"), F.avg(limited).alias("truncated"))
 
