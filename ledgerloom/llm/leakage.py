@@ -12,12 +12,13 @@ retrieved is verified word by word against question and answer.
 The corpus is read once.  A bit for each indexed shingle in a filter of fixed size,
 which is broadcast, tells the passages; nothing else of the corpus goes on.  The
 index is partitioned: in every window of ``run`` words the shingle that is rarest
-among the items (by a sketch of fixed size, then by hash) is its *anchor*, an item
-is indexed in the buckets of its anchors, and a passage is sent to the buckets of
-its own.  A shared run has the same anchor on both sides, so some bucket has both.
-The number of buckets follows the words of the items, so an index has a bounded
-size; anchors of very many items are cut into pieces, and buckets with very many
-passages get several copies of their index.
+among the items (by a sketch of fixed size, then by hash) is its *anchor*, and of a
+text or a passage a bucket gets only the words of the windows whose anchors are its
+own.  A shared run has the same anchor on both sides, so some bucket has it whole
+from both.  The number of buckets follows the words of the items, so an index has a
+bounded size, however many anchors a text has; anchors of very many items are cut
+into pieces, and buckets with very many passages get several copies of their index.
+Equal texts are one entry of an index, and equal passages are searched once.
 
 Nulls and texts shorter than ``run`` words match nothing.  Repeated rows count
 once; of rows with one key and different texts all are searched.  Words compare by
@@ -26,6 +27,7 @@ a 64-bit hash.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -46,6 +48,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 BITS, COUNTERS = 1 << 27, 1 << 20
 #: Items of one anchor that one bucket gets at most.
 PIECE = 2000
+#: Words that the windows of a bucket hold for each word of the items, about: a window's anchor lasts for five windows, so 5 + 12 words for 5.
+SPREAD = 3.5
+#: Rows that a search gives at once; passages of which it remembers the items.
+AT_ONCE, REMEMBERED = 20_000, 20_000
 
 
 def words(text: str | None) -> list[str]:
@@ -56,7 +62,7 @@ class _Hashes(dict):
     """word -> 64-bit hash; starts anew when it has grown large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -100,6 +106,7 @@ class Index:
         owner = np.concatenate(owners) if owners else np.empty(0, np.int32)
         order = np.lexsort((owner, every))
         every, owner = every[order], owner[order]
+        del order, terms, owners
         first = np.ones(len(every), bool)
         first[1:] = (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])
         starts = np.flatnonzero(first)
@@ -165,9 +172,8 @@ class Index:
             lists = [c for c in lists if c.doc < _Cursor.END]
         return found
 
-    def shares_run(self, item: int, passage: np.ndarray) -> bool:
-        """Whether ``run`` consecutive words of the passage are consecutive in one text of the item."""
-        own = {passage[i : i + self.run].tobytes() for i in range(len(passage) - self.run + 1)}
+    def shares_run(self, item: int, own: set[bytes]) -> bool:
+        """Whether a run of a passage, of which ``own`` has all, is in one text of the item."""
         return any(ids[i : i + self.run].tobytes() in own for ids in self.fields[item] for i in range(len(ids) - self.run + 1))
 
     def leaks(self, ids: np.ndarray) -> list[int]:
@@ -180,7 +186,8 @@ class Index:
         for lo, hi in zip(edges[::2], edges[1::2]):
             if hi - lo >= spans:
                 passage, own = ids[lo : hi + self.k - 1], terms[lo:hi]
-                found.update(i for i in self.retrieve(np.unique(own), self._threshold(own, spans)) if self.shares_run(i, passage))
+                runs = {passage[i : i + self.run].tobytes() for i in range(len(passage) - self.run + 1)}
+                found.update(i for i in self.retrieve(np.unique(own), self._threshold(own, spans)) if self.shares_run(i, runs))
         return sorted(found)
 
     def _threshold(self, terms: np.ndarray, spans: int) -> float:
@@ -234,13 +241,32 @@ class _Cursor:
 
 
 def _anchors(shingles: np.ndarray, counts: np.ndarray, spans: int) -> np.ndarray:
-    """The distinct anchors of a text's windows of ``spans`` shingles."""
+    """The anchor of each of a text's windows of ``spans`` shingles."""
     if len(shingles) < spans:
         return np.empty(0, np.uint64)
     # one number orders by rarity first: the sketch's magnitude, then a hash
     rank = (counts[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | ((shingles * _MIX) >> np.uint64(8))
     windows = np.lib.stride_tricks.sliding_window_view(rank, spans)
-    return np.unique(shingles[np.arange(len(windows)) + windows.argmin(axis=1)])
+    return shingles[np.arange(len(windows)) + windows.argmin(axis=1)]
+
+
+def _stretches(ids: np.ndarray, window: np.ndarray, bucket: np.ndarray, run: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(bucket, its stretches of words): all words of the windows that a bucket gets; windows whose words meet are one stretch."""
+    if not len(window):
+        return
+    order = np.lexsort((window, bucket))
+    window, bucket = window[order], bucket[order]
+    new = np.ones(len(window), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (window[1:] > window[:-1] + run)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(window)) - 1
+    at, body = int(bucket[0]), []
+    for b, lo, hi in zip(bucket[first].tolist(), window[first].tolist(), window[last].tolist()):
+        if b != at:
+            yield at, body
+            at, body = b, []
+        body.append(ids[lo : hi + run].tobytes())
+    yield at, body
 
 
 def _pieces(anchors: np.ndarray, counts: np.ndarray, piece: int) -> np.ndarray:
@@ -302,14 +328,14 @@ def passages(ids: np.ndarray, row: np.ndarray, bits: np.ndarray, k: int, run: in
             yield int(row[lo]), ids[lo : hi + k - 1]
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, fields: tuple[str, str] = ("question", "answer_text"), k: int = 5, run: int = 13, block_words: int = 3_000_000) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, fields: tuple[str, str] = ("question", "answer_text"), k: int = 5, run: int = 13, block_words: int = 1_000_000) -> DataFrame:
     """(doc_id, split, idx): documents holding ``run`` consecutive words that are consecutive in one text of an evaluation item."""
     held = items.where("split IS NOT NULL AND idx IS NOT NULL AND split <> 'train'").select("split", F.col("idx").cast("int").alias("idx"), *fields)
     marks = [F.sha2(F.coalesce(f, F.lit("")), 256).alias(f"_{f}") for f in fields]
     once = held.groupBy("split", "idx", *marks).agg(*[F.first(f).alias(f) for f in fields]).select("split", "idx", *fields)
     held = cut(once)
     bits, counts, n_words = item_filter(held, fields, k, run)
-    buckets = max(1, -(-n_words // block_words))
+    buckets = math.ceil(n_words * SPREAD / block_words) if n_words > block_words else 1
     sc = documents.sparkSession.sparkContext
     filter_, sketch = sc.broadcast(bits), sc.broadcast(counts)
     spans, most = run - k + 1, PIECE
@@ -326,29 +352,33 @@ def leaked_items(documents: DataFrame, items: DataFrame, fields: tuple[str, str]
             for at, passage in passages(np.concatenate(ids), row, filter_.value, k, run):
                 anchors = _anchors(shingle_hashes(passage, k), sketch.value, spans)
                 n = _pieces(anchors, sketch.value, most)
-                each = np.repeat(anchors, n)
+                window = np.repeat(np.arange(len(anchors)), n)
                 piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                body = [passage.tobytes()]
-                out += [(int(b), 0, docs[at], None, None, body) for b in np.unique(_bucket(each, piece, buckets))]
+                out += [(b, 0, docs[at], None, None, body) for b, body in _stretches(passage, window, _bucket(anchors[window], piece, buckets), run)]
+                if len(out) >= AT_ONCE:
+                    yield routed(out)
+                    out = []
             yield routed(out)
 
     def route_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for split, idx, *texts in zip(*[batch.column(c).to_pylist() for c in ("split", "idx", *fields)]):
-                ids = [word_hashes(t) for t in texts]
-                anchors = np.concatenate([_anchors(shingle_hashes(i, k), sketch.value, spans) for i in ids])
                 own = np.uint64(xxhash.xxh64_intdigest(f"{split}/{idx}"))
-                piece = (own % _pieces(anchors, sketch.value, most).astype(np.uint64)).astype(np.int64)
-                body = [i.tobytes() for i in ids]
-                out += [(int(b), 0, None, split, idx, body) for b in np.unique(_bucket(anchors, piece, buckets))]
+                for ids in map(word_hashes, texts):
+                    anchors = _anchors(shingle_hashes(ids, k), sketch.value, spans)
+                    piece = (own % _pieces(anchors, sketch.value, most).astype(np.uint64)).astype(np.int64)
+                    out += [(b, 0, None, split, idx, body) for b, body in _stretches(ids, np.arange(len(anchors)), _bucket(anchors, piece, buckets), run)]
+                if len(out) >= AT_ONCE:
+                    yield routed(out)
+                    out = []
             yield routed(out)
 
     corpus = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     queries = cut(corpus.mapInArrow(route_passages, _ROUTED_DDL))
     index = held.mapInArrow(route_items, _ROUTED_DDL)
     # copies of a bucket's index for every so many of its passages; one row for each bucket
-    each = max(1000, block_words // 400 if buckets > 1 else n_words // 400)
+    each = max(1000, block_words // 100 if buckets > 1 else n_words // 400)
     copies = queries.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(each)).cast("int").alias("copies"))
     copies = cut(copies)
     queries = join_small(queries, copies, "bucket", F.col("doc_id"), "inner").withColumn("salt", F.pmod(F.xxhash64("doc_id", "words"), F.col("copies")).cast("int"))
@@ -357,21 +387,35 @@ def leaked_items(documents: DataFrame, items: DataFrame, fields: tuple[str, str]
     rows = index.select(*names).unionByName(queries.select(*names))
     grouped = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("doc_id").isNotNull())  # items first
 
+    def rows_of(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out) if out else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT)], schema=_OUT)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, waiting, own = None, [], None
+        at, waiting, own, known = None, {}, None, {}
         for batch in batches:
             out = []
-            for bucket, salt, doc, split, idx, body in zip(*[c.to_pylist() for c in batch.columns]):
-                if (bucket, salt) != at:
-                    at, waiting, own = (bucket, salt), [], None
-                if doc is None:
-                    waiting.append(((split, idx), [np.frombuffer(w, np.uint64) for w in body]))
-                    continue
-                if own is None:
-                    own, waiting = Index(waiting, k, run), []
-                out += [(doc, *own.keys[i]) for i in own.leaks(np.frombuffer(body[0], np.uint64))]
-            columns = zip(*out) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT)], schema=_OUT)
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                for bucket, salt, doc, split, idx, body in zip(*[c.to_pylist() for c in part.columns]):
+                    if (bucket, salt) != at:
+                        at, waiting, own, known = (bucket, salt), {}, None, {}
+                    body = tuple(body)
+                    if doc is None:
+                        waiting.setdefault(body, []).append((split, idx))
+                        continue
+                    if own is None:
+                        own, waiting = Index([(keys, [np.frombuffer(w, np.uint64) for w in text]) for text, keys in waiting.items()], k, run), {}
+                    if (found := known.get(body)) is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        found = known[body] = sorted({i for w in body for i in own.leaks(np.frombuffer(w, np.uint64))})
+                    for i in found:
+                        for key in own.keys[i]:
+                            out.append((doc, *key))
+                        if len(out) >= AT_ONCE:
+                            yield rows_of(out)
+                            out = []
+            yield rows_of(out)
 
     return grouped.mapInArrow(search, "doc_id long, split string, idx int").distinct()
 

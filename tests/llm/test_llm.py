@@ -126,6 +126,21 @@ def test_leaks_equal_brute_force(spark, monkeypatch, block_words, piece):
     assert got == want and len(want) > 5
 
 
+def test_buckets_of_the_index_are_bounded(spark, monkeypatch):
+    """A text with many anchors isn't whole in each of their buckets."""
+    items = [("test", i, " ".join(f"x{i}y{j}" for j in range(60)), None) for i in range(300)]
+    d = spark.createDataFrame([(i, f"before {q} after") for _, i, q, _ in items[:50]], "doc_id long, text string")
+    seen = []
+    kind = type(d)
+    real = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *by: seen.append(self) or real(self, *by))
+    found = leakage.leaked_items(d, spark.createDataFrame(items, "split string, idx int, question string, answer_text string"), block_words=500)
+    words = F.aggregate("words", F.lit(0), lambda n, w: n + F.octet_length(w).cast("int")) / 8
+    sizes = [r.n for r in seen[-1].where("doc_id IS NULL").groupBy("bucket").agg(F.sum(words).alias("n")).collect()]
+    assert len(sizes) > 10 and max(sizes) <= 3 * 500
+    assert sorted(map(tuple, found.collect())) == [(i, "test", i) for i in range(50)]
+
+
 def test_wand_equals_full_scoring():
     rng = random.Random(2)
     items = [((i,), [leakage.word_hashes(" ".join(rng.choice(WORDS[:12]) for _ in range(60)))]) for i in range(400)]
