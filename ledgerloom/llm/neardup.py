@@ -3,8 +3,8 @@
 Records are sets of word shingles.  Records with equal sets form one class and
 only one of them is joined.  A pair is a candidate only if the prefixes of both
 meet under every one of several global token orders, in the window of sizes and at
-places that still allow the similarity (``setjoin``).  The intersection is made on
-ids; only what is left of it is verified on the whole sets.
+places that still allow the similarity (``setjoin``).  The first order is joined on
+ids; what is left is held against the other orders and verified on the whole sets.
 
 Nulls and texts with fewer words than a shingle have no shingles and are similar
 to nothing.  Repeated rows count once.

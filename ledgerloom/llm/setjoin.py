@@ -12,10 +12,15 @@ posting lists of prefix tokens, in which pairs meet under three exact filters:
   that differ in d tokens differ in at most d bits.  Without it, texts that share
   stock sentences meet in numbers that grow with the square of the input.
 
-A pair is a candidate only if it meets under every order.  That is decided on ids
-alone, by one aggregate of (pair, order); only then whole sets are fetched and
-verified.  None of the filters loses a similar pair, and all arithmetic on the
-threshold is exact: it is a fraction of integers.
+A pair is a candidate only if it meets under every order.  The lists of the first
+order, of the rarest tokens, are the shortest; only they are joined, and what is left
+of them on ids alone is held against the other orders once the sets are fetched,
+before they are verified.  None of the filters loses a similar pair, and all
+arithmetic on the threshold is exact: it is a fraction of integers.
+
+Where the vocabulary doesn't grow with the input, lists do, and the pairs of a list
+with its square.  Sets with a wide window are therefore compared as blocks of a
+matrix, without a look-up for each pair.
 
 Orders go by how rare tokens are.  Any order will do for correctness, so counts
 come from a sketch of fixed width, the one thing that is broadcast, and no token
@@ -40,7 +45,9 @@ from ledgerloom.operators.skew import hot_keys, salted_join
 #: Counters of the sketch; a power of two.  4 bytes each are broadcast, whatever the input.
 WIDTH = 1 << 21
 #: Postings of a token that one group holds at most, and pairs that are compared at once.
-PIECE, AT_ONCE = 4000, 1_000_000
+PIECE, AT_ONCE = 32_000, 1_000_000
+#: From this width of a window on sets are compared as blocks; rows and columns of a block, and words of the bitmap that decide there.
+WIDE, BLOCK, FIRST = 128, (128, 1024), 3
 
 #: Words of the bitmap, a power of two of them.
 BITS = ("b0", "b1", "b2", "b3")
@@ -153,46 +160,80 @@ def postings(sets: DataFrame, counts: np.ndarray, t: Fraction, orders: int) -> D
 _MET = pa.schema([("s", pa.int64()), ("l", pa.int64()), ("orders", pa.int32())])
 
 
+def _fit(part: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Those of the pairs (i, j) of postings that pass every filter."""
+    n, rest = part["n"].astype(np.int64, copy=False), part["rest"]
+    fi, fj, both = rest[i], rest[j], n[i] + n[j]
+    fits = (fj & LARGE > 0) & ((1 + np.minimum(n[i] - (fi >> POSITION), n[j] - (fj >> POSITION))) * (num + den) >= both * num)
+    fits &= ((fi & LEFT > 0) & (fj & RIGHT > 0)) | ((fi & RIGHT > 0) & (fj & LEFT > 0))
+    fits &= (n[i] < n[j]) | (part["id"][i] < part["id"][j])
+    i, j, both = i[fits], j[fits], both[fits]
+    differ = sum(np.bitwise_count((part[b][i] ^ part[b][j]).view(np.uint64)).astype(np.int64) for b in BITS)
+    fits = differ * (num + den) <= both * (den - num)
+    if fits.any():
+        order = (rest[i[fits]] >> ORDER) & 15
+        pairs = np.unique(np.stack([part["id"][i[fits]], part["id"][j[fits]], order]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array((1 << pairs[2]).astype(np.int32))], schema=_MET)
+
+
+def _blocks(part: dict[str, np.ndarray], s: np.ndarray, lo: np.ndarray, hi: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of each s[k] with lo[k] to hi[k] that some words of the bitmap don't rule out; rows of one group have windows that overlap, in order."""
+    rows, columns = BLOCK
+    n, words = part["n"].astype(np.int64, copy=False), [part[b].view(np.uint64) for b in BITS[:FIRST]]
+    at = 0
+    while at < len(s):
+        to = min(at + rows, int(np.searchsorted(lo, hi[at])), len(s))  # the rows whose windows the first one's reaches
+        own = [w[s[at:to]][:, None] for w in words]
+        for c in range(int(lo[at]), int(hi[at:to].max()), columns):
+            end = min(c + columns, int(hi[at:to].max()))
+            differ = np.bitwise_count(own[0] ^ words[0][c:end])  # at most 192: fits a byte
+            for x, w in zip(own[1:], words[1:]):
+                differ += np.bitwise_count(x ^ w[c:end])
+            most = np.minimum((n[s[at:to]] + n[end - 1]) * (den - num) // (num + den), 255).astype(np.uint8)
+            near = np.flatnonzero(differ <= most[:, None])
+            if len(near):
+                k, j = at + near // (end - c), c + near % (end - c)
+                inside = (j >= lo[k]) & (j < hi[k])
+                yield s[k[inside]], j[inside]
+        at = to
+
+
 def _compare(part: dict[str, np.ndarray], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """The pairs of whole groups of postings, which are sorted by key and size."""
     group = np.concatenate(([0], np.cumsum(np.diff(part["key"]) != 0)))
-    n = part["n"].astype(np.int64)
+    n = part["n"] = part["n"].astype(np.int64)
     place = group * (int(n.max()) + 1) + n  # sorted
-    rest = part["rest"]
-    pos = rest >> POSITION
-    s = np.flatnonzero(rest & SMALL)
+    s = np.flatnonzero(part["rest"] & SMALL)
     top = np.minimum(n[s] * den // num, int(n.max()))
     lo, hi = np.searchsorted(place, place[s]), np.searchsorted(place, place[s] - n[s] + top, "right")
+    wide = hi - lo >= WIDE
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    for pair in _blocks(part, s[wide], lo[wide], hi[wide], num, den):
+        waiting.append(pair)
+        if sum(len(i) for i, _ in waiting) >= AT_ONCE:
+            yield from _fit(part, *map(np.concatenate, zip(*waiting)), num, den)
+            waiting = []
+    if waiting:
+        yield from _fit(part, *map(np.concatenate, zip(*waiting)), num, den)
     width = hi - lo
-    s, lo, width = s[width > 1], lo[width > 1], width[width > 1]
+    few = (width > 1) & ~wide
+    s, lo, width = s[few], lo[few], width[few]
     total = np.cumsum(width)
     at = 0
     while at < len(s):
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
         w = width[at:to]
-        i = np.repeat(s[at:to], w)
-        j = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(lo[at:to], w)
-        fi, fj, both = rest[i], rest[j], n[i] + n[j]
-        fits = (fj & LARGE > 0) & ((1 + np.minimum(n[i] - pos[i], n[j] - pos[j])) * (num + den) >= both * num)
-        fits &= ((fi & LEFT > 0) & (fj & RIGHT > 0)) | ((fi & RIGHT > 0) & (fj & LEFT > 0))
-        fits &= (n[i] < n[j]) | (part["id"][i] < part["id"][j])
-        i, j, both = i[fits], j[fits], both[fits]
-        differ = sum(np.bitwise_count((part[b][i] ^ part[b][j]).view(np.uint64)).astype(np.int64) for b in BITS)
-        fits = differ * (num + den) <= both * (den - num)
-        if fits.any():
-            order = (rest[i[fits]] >> ORDER) & 15
-            pairs = np.unique(np.stack([part["id"][i[fits]], part["id"][j[fits]], order]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array((1 << pairs[2]).astype(np.int32))], schema=_MET)
+        yield from _fit(part, np.repeat(s[at:to], w), np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(lo[at:to], w), num, den)
         at = to
 
 
-def meetings(sets: DataFrame, t: Fraction, orders: int) -> DataFrame:
+def meetings(sets: DataFrame, t: Fraction, orders: int, counts: np.ndarray | None = None) -> DataFrame:
     """(s, l, orders): pairs of sets that meet under any order, with a bit for each order under which they do.
 
     ``s`` is the smaller set, the one of lower id if they are of one size.  Empty
     sets meet nothing.
     """
-    lists = postings(sets, sketch(sets), t, orders)
+    lists = postings(sets, sketch(sets) if counts is None else counts, t, orders)
     num, den = t.numerator, t.denominator
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +265,46 @@ def pruning(met: DataFrame, orders: int) -> DataFrame:
     return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("n_orders"), F.col(str(k)).alias("n_candidates")) for k in range(1, orders + 1)])).alias("r")).select("r.*")
 
 
+def _shared_prefix(batch: pa.RecordBatch, counts: np.ndarray, order: int, num: int, den: int) -> np.ndarray:
+    """Of each row (s_tokens, l_tokens), whether the prefixes under an order share a token at places that still allow the similarity."""
+    sides = []
+    for column in ("s_tokens", "l_tokens"):
+        tokens, row = _flat(batch.column(column))
+        size = np.bincount(row, minlength=batch.num_rows)
+        major, minor = order_key(counts[tokens & (WIDTH - 1)], tokens, order)
+        sort = np.lexsort((minor, major, row))
+        pos = np.arange(len(tokens)) - (np.cumsum(size) - size)[row] + 1
+        least = (size * 2 * num + num + den - 1) // (num + den) if column == "s_tokens" else (size * num + den - 1) // den
+        keep = pos <= (size - least + 1)[row]
+        sides.append((tokens[sort][keep], row[keep], pos[keep], size))
+    (ts, rs, ps, ns), (tl, rl, pl, nl) = sides
+    token, row, pos = np.concatenate([ts, tl]), np.concatenate([rs, rl]), np.concatenate([ps, pl])
+    sort = np.lexsort((token, row))
+    token, row, pos = token[sort], row[sort], pos[sort]
+    same = np.flatnonzero((token[1:] == token[:-1]) & (row[1:] == row[:-1]))  # stable: the one of s comes first
+    r = row[same]
+    fits = (1 + np.minimum(ns[r] - pos[same], nl[r] - pos[same + 1])) * (num + den) >= (ns[r] + nl[r]) * num
+    return np.bincount(r[fits], minlength=batch.num_rows) > 0
+
+
+def meeting_again(pairs: DataFrame, counts: np.ndarray, t: Fraction, orders: int) -> DataFrame:
+    """Those of the pairs (s, l, s_tokens, l_tokens) of the first order that meet under each of the others too."""
+    if orders == 1:
+        return pairs
+    shared = pairs.sparkSession.sparkContext.broadcast(counts)
+    num, den = t.numerator, t.denominator
+    columns = ["s", "l", "s_tokens", "l_tokens"]
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                for order in range(1, orders):
+                    batch = batch.filter(pa.array(_shared_prefix(batch, shared.value, order, num, den)))
+                yield batch
+
+    return pairs.select(*columns).mapInArrow(hold, "s long, l long, s_tokens array<long>, l_tokens array<long>")
+
+
 def similar_pairs(sets: DataFrame, t: Fraction, orders: int) -> DataFrame:
     """(s, l, n_s, n_l, common): pairs of different sets, of two sides of the join, with similarity of at least ``t``.
 
@@ -231,10 +312,11 @@ def similar_pairs(sets: DataFrame, t: Fraction, orders: int) -> DataFrame:
     bigints), sides (1: left, 2: right, 3: both) and space; cut its lineage first.
     Candidates are written to the shared folder.
     """
-    every = (1 << orders) - 1
-    pairs = cut(meetings(sets, t, orders).where(F.col("orders") == every).select("s", "l"))
+    counts = sketch(sets)
+    pairs = cut(meetings(sets, t, 1, counts).select("s", "l"))
     a, b = (sets.select(F.col("id").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in ("s", "l"))
     both = salted_join(pairs, a, "s", F.col("l"), "inner")
     both = salted_join(both, b, "l", F.col("s"), "inner", hot=hot_keys(pairs, "l"))
+    both = meeting_again(both, counts, t, orders)
     sized = both.select("s", "l", F.size("s_tokens").alias("n_s"), F.size("l_tokens").alias("n_l"), F.size(F.array_intersect("s_tokens", "l_tokens")).alias("common"))
     return sized.where(F.col("common") * t.denominator >= (F.col("n_s") + F.col("n_l") - F.col("common")) * t.numerator)

@@ -91,6 +91,25 @@ def test_hot_token_is_cut_but_loses_nothing(spark, monkeypatch):
     assert links.count() == want > 0
 
 
+def test_blocks_meet_the_same_pairs(monkeypatch):
+    from ledgerloom.llm import setjoin
+
+    rng = np.random.default_rng(3)
+    rows = 900
+    base = rng.integers(-(1 << 62), 1 << 62, (20, len(setjoin.BITS)))
+    bits = base[rng.integers(0, 20, rows)] ^ (1 << rng.integers(0, 60, (rows, 1)))  # near one of 20
+    key, n = np.sort(rng.integers(0, 3, rows)), rng.integers(5, 40, rows).astype(np.int32)
+    n = n[np.lexsort((n, key))]
+    rest = rng.choice([setjoin.SMALL | setjoin.LARGE, setjoin.LARGE], rows) | 3 * setjoin.LEFT | rng.integers(1, 4, rows) << setjoin.POSITION
+    part = {"key": key, "n": n, "id": rng.permutation(rows), "rest": rest} | {b: np.ascontiguousarray(bits[:, i]) for i, b in enumerate(setjoin.BITS)}
+    met = {}
+    for wide, block in ((1 << 40, (128, 1024)), (1, (128, 1024)), (1, (7, 10)), (150, (7, 10))):
+        monkeypatch.setattr(setjoin, "WIDE", wide)
+        monkeypatch.setattr(setjoin, "BLOCK", block)
+        met[wide, block] = {p for b in setjoin._compare(dict(part), 1, 2) for p in zip(b.column("s").to_pylist(), b.column("l").to_pylist())}
+    assert all(m == met[1 << 40, (128, 1024)] for m in met.values()) and len(met[1, (7, 10)]) > 100
+
+
 def test_overlaps_equal_brute_force(spark):
     rng = random.Random(3)
     items = []
